@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER, documents
@@ -14,6 +14,37 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources, n_tokens
+
+    light = documents(spark, sf_dir).select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"))
+    out = mix_sources(light, text_col=None)
+    return out.select("doc_id", "source", "n_tokens", F.round("exponent", 9).alias("exponent"), F.round("mix_weight", 9).alias("mix_weight"), F.round("quota", 3).alias("quota"), "copies")
+
+
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii
+    from .spans import listed
+
+    found = find_pii(documents(spark, sf_dir))
+    counts = [count_of("base", k) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+    from .spans import listed
+
+    found = find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [count_of("spans", k) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave_shards, sized
 
@@ -29,7 +60,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mixing, op6_pii, op7_secrets, op8_sharding, op10_token_output)}
 
 SQL = {
     "op1_exact_dedup": f"""

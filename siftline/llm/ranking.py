@@ -36,14 +36,14 @@ def numbered(df: DataFrame, group: str | None, block: Column, order: list[Column
     size = F.sum(weight) if weight else F.count("*")
     counts = df.groupBy(*keys).agg(size.alias("_n"))
     before = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"_o{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = counts.select(*[F.col(k).alias(f"_o{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     place = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(inside) - 1
     same = F.col("_block") == F.col("_o_block")
     if group:
         same = same & (F.col(group) == F.col(f"_o{group}"))
     placed = df.withColumn("_in", place).join(F.broadcast(offsets), same)
-    return placed.withColumn(name, F.col("_before") + F.col("_in")).drop("_block", "_before", "_in", *[f"_o{k}" for k in keys])
+    return placed.withColumn(name, F.col("_offset") + F.col("_in")).drop("_block", "_offset", "_in", *[f"_o{k}" for k in keys])
 
 
 def with_sizes(df: DataFrame, group: str, weight: str | None = None) -> tuple[DataFrame, int, int]:
