@@ -22,6 +22,7 @@ table writes no frames.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,34 +40,64 @@ from .common import new_path, written
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NULL_ID = -(1 << 63)
 END_ID = 2
-#: Distinct words whose ids a worker keeps; beyond it the cache starts afresh.
-CACHED_WORDS = 300_000
+#: Distinct pieces whose ids a worker keeps, in each of two generations; the older one goes when the younger is full.
+CACHED_PIECES = 350_000
 
 
 class WordEncoder:
-    """Ids of texts as bytes. The tokenizer never joins characters across a blank, so ids of blank-free pieces are kept and joined."""
+    """Ids of texts as bytes.
+
+    The tokenizer never joins characters across a blank, so the ids of
+    blank-free pieces are kept and joined. It also parts letters from the
+    punctuation after them, apostrophes apart, and ignores case, so a new piece
+    of letters and a tail of such marks is made of the ids of both. A worker
+    process keeps its encoder from task to task.
+    """
+
+    of_process: dict = {}
+
+    PIECE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.parts = Tokenizer.from_file(path), {}, {"": b""}
+        self.old_ids, self.old_parts = {}, {}
 
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.ids))
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    @classmethod
+    def at(cls, path: str) -> WordEncoder:
+        if path not in cls.of_process:
+            cls.of_process[path] = cls(path)
+        return cls.of_process[path]
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.ids) > CACHED_WORDS:
-            self.ids = {}
+    def learn(self, pieces: set[str]) -> None:
+        made, new = {}, set()
+        for piece in pieces:
+            if piece in self.old_ids:
+                self.ids[piece] = self.old_ids[piece]
+                continue
+            m = self.PIECE.fullmatch(piece)
+            made[piece] = key = (m[1].lower() if m[1].isascii() else m[1], m[2] or "") if m else (piece, "")
+            new.update(key)
+        new.difference_update(self.parts)
+        known = new.intersection(self.old_parts)
+        self.parts.update(zip(known, map(self.old_parts.__getitem__, known), strict=True))
+        new = list(new - known)
+        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[part] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for piece, (core, tail) in made.items():
+            self.ids[piece] = self.parts[core] + self.parts[tail]
+
+    def encode(self, texts: list[str | None], at_once: int = 256) -> Iterator[bytes]:
         end = struct.pack("<I", END_ID)
-        for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            try:
-                yield b"".join(map(self.ids.__getitem__, pieces)) + end
-            except KeyError:
-                self.learn(set(pieces))
+        for k in range(0, len(texts), at_once):
+            split = [(t or "").replace("\n", " ").split(" ") for t in texts[k : k + at_once]]
+            if len(self.ids) > CACHED_PIECES:
+                self.ids, self.old_ids, self.parts, self.old_parts = {}, self.ids, {"": b""}, self.parts
+            if unknown := set().union(*split).difference(self.ids):
+                self.learn(unknown)
+            for pieces in split:
                 yield b"".join(map(self.ids.__getitem__, pieces)) + end
 
 
@@ -124,7 +155,7 @@ def writer(folder: str, tokenizer_path: str):
         from pyspark import TaskContext
 
         part, try_ = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        encoder, out, tokens, last = WordEncoder(tokenizer_path), None, 0, None
+        encoder, out, tokens = WordEncoder.at(tokenizer_path), None, 0
         fs, root = filesystem(folder)
         name = f"{root}/tokens-{part:06d}.zst"
         for batch in batches:
