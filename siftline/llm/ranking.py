@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast
 
 #: Rows per block; the number of blocks, and so the table of offsets that is broadcast, stays under BLOCKS.
-BLOCK_ROWS, BLOCKS = 20_000, 50_000
+BLOCK_ROWS, BLOCKS = 1_000, 50_000
 
 
 def shuffle_key(id_col: Column, seed: int) -> Column:
