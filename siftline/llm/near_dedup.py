@@ -74,13 +74,12 @@ def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
     order = np.argsort(h, kind="stable")
     s = h[order]
     repeat = s[1:] == s[:-1]
+    label = np.zeros(len(s), np.uint64)
     if repeat.any():
         at = np.arange(len(s))
         begin = np.maximum.accumulate(np.where(np.concatenate(([True], ~repeat)), at, 0))
-        label = np.empty(len(s), np.uint64)
         label[order] = (at - begin).astype(np.uint64)
-        h = mixed(h + label * np.uint64(0xA24BAED4963EE407))
-    return h
+    return mixed(h + label * np.uint64(0xA24BAED4963EE407))
 
 
 def order_minhash(h: np.ndarray, orders: np.ndarray, least: int) -> np.ndarray:

@@ -52,6 +52,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(light, text_col=None).select("doc_id", "source", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +66,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mixing, op6_pii, op7_secrets, op8_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mixing, op6_pii, op7_secrets, op8_sharding, op9_minhash_dedup, op10_token_output)}
 
 SQL = {
     "op1_exact_dedup": f"""
