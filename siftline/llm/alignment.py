@@ -51,6 +51,8 @@ def banded_distance(a: Sequence, b: Sequence, most: int) -> int | None:
         right_down = same & rises
         if j + 1 + down <= n:
             score += not same >> (width - 1) & 1
+            if score > most + up:  # distances never fall along a diagonal
+                return None
         else:
             row = n - (j + 1) + up
             score += (right_up >> row & 1) - (right_down >> row & 1)

@@ -120,14 +120,17 @@ def sketcher(sketches: int, least: int) -> Callable:
     return run
 
 
+def word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their words, joined by single blanks."""
+    for batch in batches:
+        words = [" ".join(WORD.findall((t or "").lower())) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["id", "text"])
+
+
 def word_aligner(similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hold, seen = [], {}
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a not in seen:
-                    seen = {a: WORD.findall((a or "").lower())}
-                hold.append(similar(seen[a], WORD.findall((b or "").lower()), similarity))
+            hold = [similar(a.split(), b.split(), similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
     return run
@@ -136,6 +139,8 @@ def word_aligner(similarity: float) -> Callable:
 def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], aligner: Callable) -> DataFrame:
     """The pairs (a, b) whose texts align. texts_of: (id, text) of the ids that a frame (id) names."""
     pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     texts = written(texts_of(ids), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -153,7 +158,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = nodes.join(checked_broadcast(ids.withColumnRenamed("id", "digest"), ids.count()), "digest", "left_semi").select(F.col("least_id").alias("doc_id"), F.col("digest").alias("id"))
         wanted = written(wanted, "wanted")
         found = plain.join(checked_broadcast(wanted, wanted.count()), "doc_id")
-        return found.dropDuplicates(["id"]).select("id", "text")
+        return found.dropDuplicates(["id"]).select("id", "text").mapInArrow(word_texts, "id binary, text string")
 
     links = bucket_links(buckets, lambda pairs: verified(pairs, texts_of, word_aligner(similarity)), similarity)
     roots = written(components(links), "roots")
