@@ -39,7 +39,7 @@ from .graph import bucket_links, components
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 #: Distinct words whose hashes a worker keeps; beyond it the cache starts afresh.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 
 
 class Hashes(dict):
@@ -103,7 +103,8 @@ def sketcher(sketches: int, least: int) -> Callable:
         known, orders = Hashes(), constants(sketches, 9)
         for batch in batches:
             digests, sizes, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for cell in batch.column(1):  # one text at a time in Python's memory
+                text = cell.as_py()
                 words = WORD.findall((text or "").lower())
                 sizes.append(len(words))
                 if words:
@@ -123,14 +124,14 @@ def sketcher(sketches: int, least: int) -> Callable:
 def word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as their words, joined by single blanks."""
     for batch in batches:
-        words = [" ".join(WORD.findall((t or "").lower())) for t in batch.column(1).to_pylist()]
+        words = [" ".join(WORD.findall((t.as_py() or "").lower())) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["id", "text"])
 
 
 def word_aligner(similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hold = [similar(a.split(), b.split(), similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            hold = [similar(a.as_py().split(), b.as_py().split(), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
     return run
