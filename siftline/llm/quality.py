@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 GRADES = 3
 #: Distinct pieces whose features a worker keeps; beyond it the cache starts afresh.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 80_000
 CORE = re.compile(r"\w+")
 #: Upper ends of the shares that whole-text features tell apart (fixed values).
 SHARES = (0.0, 0.02, 0.1, 0.3, 0.6, 1.0)
@@ -96,11 +96,11 @@ class Ordinal:
         """P(grade <= k) for k under the highest grade, a column each."""
         return 1 / (1 + np.exp(np.clip(scores[:, None] - self.thresholds[None, :], -60, 60)))
 
-    def score(self, rows: list[np.ndarray]) -> np.ndarray:
+    def score(self, rows: Iterable[np.ndarray]) -> np.ndarray:
         return np.array([self.weights[r].sum() for r in rows])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 10, rate: float = 0.2, shrink: float = 3e-3, rare: float = 500.0, batch: int = 32, seed: int = 7) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, least_epochs: int = 10, rate: float = 0.2, shrink: float = 3e-3, rare: float = 500.0, batch: int = 32, seed: int = 7) -> Ordinal:
     """Maximum likelihood by AdaGrad with soft thresholding, in a seeded order.
 
     Features of fewer than one in `rare` training texts (two at least) get no
@@ -112,7 +112,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 10, rate: floa
     w, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     cuts, cut_squares = np.array([-1.0, 1.0]), np.full(2, 1e-8)
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    # small samples are gone over more often, for about as many steps as the largest one gets
+    for _ in range(max(least_epochs, min(200, 60_000 // len(rows)))):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             pick = order[k : k + batch]
@@ -179,7 +180,7 @@ def scorer(model: Ordinal | int) -> Callable:
                 below = np.tile([float(model <= k) for k in range(GRADES - 1)], (batch.num_rows, 1))
             else:
                 now = Ordinal(weights, model.thresholds)
-                below = now.at_most(now.score([features(t, known) for t in batch.column(batch.num_columns - 1).to_pylist()]).astype(float).reshape(-1))
+                below = now.at_most(now.score(features(t.as_py(), known) for t in batch.column(batch.num_columns - 1)).astype(float).reshape(-1))
             expected = (1 - below).sum(axis=1)
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(expected), pa.array(1 - below[:, -1])], names=[*batch.schema.names[:-1], "expected_grade", "p_clean"])
