@@ -38,7 +38,7 @@ def emitted(slots: DataFrame, keys: list[str], most: int, order: str = "place")
     """The texts an entry shows: repeated texts once, where they stand first, at most `most`; out_pos counts from 0."""
     first = slots.where("text is not null").groupBy(*keys, "text").agg(F.min(order).alias(order))
     place = Window.partitionBy(*keys).orderBy(order)
-    return first.withColumn("out_pos", F.row_number().over(place) - 1).where(F.col("out_pos") < most)
+    return first.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= most).withColumn("out_pos", F.col("_place") - 1).drop("_place")
 
 
 def usage(shown: DataFrame, variant: str = "variant_id") -> DataFrame:

@@ -30,8 +30,10 @@ def small(df: DataFrame, limit: int = QUERY_ROWS) -> DataFrame:
 def ranked(scores: DataFrame, top_k: int | None, keys: tuple[str, ...] = ("query_id", "section"), score: str = "score") -> DataFrame:
     """rank from 0 within keys by score, then doc_id; a group limit prunes before the shuffle when top_k is given."""
     order = Window.partitionBy(*keys).orderBy(F.round(F.col(score), 9).desc(), F.col("doc_id"))
-    out = scores.withColumn("rank", F.row_number().over(order) - 1)
-    return out if top_k is None else out.where(F.col("rank") < top_k)
+    out = scores.withColumn("_place", F.row_number().over(order))
+    # the planner limits groups early only under a filter on the row number itself
+    out = out if top_k is None else out.where(F.col("_place") <= top_k)
+    return out.withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
 def bm25_terms(corpus: DataFrame, terms: str = "tokens", section: str = "section", epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
