@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Largest row count of an (id or id, small value) frame that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Folders of our own, by application, where the session names none.
+_own: dict[str, str] = {}
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = f"file://{tempfile.mkdtemp(prefix='siftline-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_siftline"
-        spark.conf.set("spark.checkpoint.dir", base)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if app not in _own:
+            local = master == "local" or master.startswith("local[")
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='siftline-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_siftline"
+        base = _own[app]
     return base.rstrip("/")
 
 
