@@ -122,10 +122,11 @@ def sketcher(sketches: int, least: int) -> Callable:
 
 
 def word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as their words, joined by single blanks."""
+    """Texts as their words, joined by single blanks; of rows that share an id those whose text is another one go."""
     for batch in batches:
         words = [" ".join(WORD.findall((t.as_py() or "").lower())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["id", "text"])
+        same = [xxhash.xxh3_128_digest(w) == d for w, d in zip(words, batch.column(0).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["id", "text"]).filter(pa.array(same, pa.bool_()))
 
 
 def word_aligner(similarity: float) -> Callable:
@@ -159,7 +160,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = nodes.join(checked_broadcast(ids.withColumnRenamed("id", "digest"), ids.count()), "digest", "left_semi").select(F.col("least_id").alias("doc_id"), F.col("digest").alias("id"))
         wanted = written(wanted, "wanted")
         found = plain.join(checked_broadcast(wanted, wanted.count()), "doc_id")
-        return found.dropDuplicates(["id"]).select("id", "text").mapInArrow(word_texts, "id binary, text string")
+        return found.select("id", "text").mapInArrow(word_texts, "id binary, text string").dropDuplicates(["id"])
 
     links = bucket_links(buckets, lambda pairs: verified(pairs, texts_of, word_aligner(similarity)), similarity)
     roots = written(components(links), "roots")

@@ -87,7 +87,8 @@ def test_near_duplicates_against_all_pairs(spark, small, monkeypatch):
                 words[rng.randrange(80)] = "changed"
             rows.append((len(rows), " ".join(words), "s"))
     rows += [(900, None, "s"), (901, "", "s"), (902, "!!", "s"), (903, "ab cd", None), (904, "AB  cd", None), (None, "lonely words of a null id", None)]
-    df = frame(spark, rows).withColumn("class_id", F.lit("clash"))
+    repeat = (0, " ".join(prose(77, 60)), "s")  # an id that comes again with another text
+    df = frame(spark, [repeat, *rows]).withColumn("class_id", F.lit("clash"))
     got = {r.doc_id: r for r in near_duplicates(df).collect()}
     words = {i: (t or "").lower().split() for i, t, _ in rows}
     for i, _, _ in rows:
