@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, forget, written
 
-#: Members of a bucket up to which those that its leader doesn't match meet all others; in larger ones they choose a new leader first.
+#: Members of a bucket up to which those that its leader doesn't match meet all others at once; in larger ones they choose new leaders first.
 SMALL = 64
-#: Rounds of leaders before what no leader matched meets all others that none matched, whatever their number.
+#: Rounds of leaders before what links don't connect yet meets pair by pair, whatever its number.
 ROUNDS = 3
+#: Members of a bucket that one salted block of the last step holds.
+BLOCK = 256
 
 
 def near_enough(share: float):
@@ -26,41 +28,61 @@ def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], shar
     rows: bucket, id, size (of the text; sizes further apart than `share` allows
     are no pair). verify: gets distinct pairs (a, b), a < b, returns those that
     hold. Every member is compared with its bucket's leader (by a hash of the id): one
-    pair a row, however large the bucket. A member that the leader matches is
-    settled there. The others are compared with all members in buckets of up
-    to `small`; in larger ones they form a bucket of their own with a new
-    leader, and after ROUNDS rounds the few that are left meet pair by pair.
-    Members that links of any bucket connect already need no pair of their own.
-    No step gathers a bucket in one task.
+    pair a row, however large the bucket. In buckets over `small` those that the
+    leader doesn't match choose a new one, for ROUNDS rounds at most. Then, in
+    buckets of any size, a member of each connected component meets one of the
+    bucket's largest component, and at last all members of components that are
+    still apart meet pair by pair, those that a leader matched among them. Only
+    pairs that links connect already, that were compared before or whose sizes
+    differ too much are left out. No step gathers a bucket in one task.
     """
-    links, rest = [], rows
+    links, tried, rest = [], [], rows
 
-    def known(found: list[DataFrame]) -> DataFrame:
-        roots = written(components(union(found)), "known")
+    def known() -> DataFrame:
+        roots = written(components(union(links)), "known")
         return checked_broadcast(roots.withColumnRenamed("id", "_id"), roots.count())
 
+    def compared(pairs: DataFrame) -> None:
+        """Verifies what was not compared before."""
+        pairs = pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).where("a <> b").distinct()
+        if tried:
+            pairs = pairs.join(union(tried), ["a", "b"], "left_anti")
+        tried.append(written(pairs, "tried"))
+        links.append(verify(tried[-1]))
+
     fits = near_enough(share)
     for k in range(ROUNDS):
         # most buckets hold one row: fixed-width aggregates find the others, and only their rows go on
         sizes = written(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("id")).alias("first")).where("n > 1"), f"sizes-{k}")
         shared = written(rest.join(checked_broadcast(sizes, sizes.count()), "bucket").select("bucket", "id", "size", "n", (F.xxhash64("id") == F.col("first")).alias("leads")), f"shared-{k}")
+        members = shared if k == 0 else members
         lead = shared.where("leads").groupBy("bucket").agg(F.min("id").alias("lead"), F.min_by("size", "id").alias("lead_size"))
-        sized = written(shared.join(lead, "bucket").select("bucket", "id", "size", "n", "lead", "lead_size"), f"buckets-{k}")
-        others = sized.where("id <> lead")
-        held = verify(others.where(fits(F.col("size"), F.col("lead_size"))).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct())
-        links.append(held)
-        lone = others.join(held, (F.least("lead", "id") == F.col("a")) & (F.greatest("lead", "id") == F.col("b")), "left_anti")
-        last = k == ROUNDS - 1
-        few = written(lone.where(F.lit(True) if last else F.col("n") <= small).select("bucket", F.col("id").alias("u"), F.col("size").alias("_su")), f"lone-{k}")
-        roots = known(links)
-        few = few.join(roots, F.col("u") == F.col("_id"), "left").select("bucket", "u", "_su", F.coalesce("root", "u").alias("_cu"))
-        # the unmatched against all but the leader; where rounds have ended, against each other
-        against = few.withColumnsRenamed({"u": "x", "_su": "_sx", "_cu": "_cx"}) if last else others.where(F.col("n") <= small).join(roots, F.col("id") == F.col("_id"), "left").select("bucket", F.col("id").alias("x"), F.col("size").alias("_sx"), F.coalesce("root", "id").alias("_cx"))
-        pairs = few.join(against, "bucket").where((F.col("_cu") != F.col("_cx")) & fits(F.col("_su"), F.col("_sx")))
-        links.append(verify(pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()))
-        rest = written(lone.where(F.col("n") > small).select("bucket", "id", "size"), f"rest-{k}")
-        if last or rest.isEmpty():
+        others = written(shared.join(lead, "bucket").where("id <> lead").select("bucket", "id", "size", "n", "lead", "lead_size"), f"others-{k}")
+        compared(others.where(fits(F.col("size"), F.col("lead_size"))).select(F.col("lead").alias("u"), F.col("id").alias("x")))
+        if k == ROUNDS - 1:
+            break
+        lone = others.where(F.col("n") > small).join(links[-1], (F.least("lead", "id") == F.col("a")) & (F.greatest("lead", "id") == F.col("b")), "left_anti")
+        rest = written(lone.select("bucket", "id", "size"), f"rest-{k}")
+        if rest.isEmpty():
+            break
+    for step in ("representatives", "members"):
+        # in a bucket of two the leader has met the only other
+        roots = known()
+        of = members.where("n > 2").join(roots, F.col("id") == F.col("_id"), "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("c"))
+        parts = written(of.groupBy("bucket", "c").agg(F.count("*").alias("of"), F.min("id").alias("rep"), F.min_by("size", "id").alias("rep_size")), "parts")
+        largest = parts.groupBy("bucket").agg(F.max(F.struct("of", "c", "rep", "rep_size")).alias("l"), F.sum("of").alias("n"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "n", "l.c", "l.rep", "l.rep_size")
+        largest = written(largest.withColumnsRenamed({"c": "_c", "rep": "_rep", "rep_size": "_rep_size"}), "largest")
+        if largest.isEmpty():
             break
+        largest_by = checked_broadcast(largest, largest.count())
+        if step == "representatives":
+            compared(parts.join(largest_by, "bucket").where((F.col("c") != F.col("_c")) & fits(F.col("rep_size"), F.col("_rep_size"))).select(F.col("_rep").alias("u"), F.col("rep").alias("x")))
+            continue
+        # of two members of different components one at least is outside the bucket's largest
+        apart = written(of.join(largest_by, "bucket").select("bucket", "id", "size", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), (F.col("c") != F.col("_c")).alias("outside")), "apart")
+        few = apart.where("outside").select("bucket", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("u"), F.col("size").alias("_su"), F.col("c").alias("_cu"))
+        all_of = apart.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("size").alias("_sx"), F.col("c").alias("_cx"))
+        compared(few.join(all_of, ["bucket", "block"]).where((F.col("_cu") != F.col("_cx")) & fits(F.col("_su"), F.col("_sx"))))
     return union(links).distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftline.llm import alignment, trigrams
 from siftline.llm.decontamination import Matcher, decontaminate, find_leaks, normal
 from siftline.llm.exact_dedup import exact_dedup, trim
-from siftline.llm.graph import components
+from siftline.llm.graph import bucket_links, components
 from siftline.llm.line_dedup import dedup_lines
 from siftline.llm.mixing import mix_sources, mixed
 from siftline.llm.near_dedup import near_duplicates
@@ -102,6 +102,24 @@ def test_near_duplicates_against_all_pairs(spark, small, monkeypatch):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 64, 65, 300])
+def test_bucket_links_reach_members_that_a_leader_settled(spark, n):
+    ids = spark.range(n).select(F.lit(1).alias("bucket"), F.col("id").cast("string").cast("binary").alias("id"), F.lit(9).alias("size"))
+    lead, m, u, v, *_ = (bytes(r.id) for r in ids.orderBy(F.xxhash64("id")).collect())
+    # u and v match no leader; u ~ m ~ lead, v ~ u, and all others ~ lead
+
+    def verify(pairs):
+        a, b, lone = F.col("a"), F.col("b"), [F.lit(u), F.lit(v)]
+        return pairs.where(
+            ((a == F.lit(lead)) & ~b.isin(lone)) | ((b == F.lit(lead)) & ~a.isin(lone)) | ((F.least("a", "b") == F.lit(min(u, m))) & (F.greatest("a", "b") == F.lit(max(u, m)))) | ((F.least("a", "b") == F.lit(min(u, v))) & (F.greatest("a", "b") == F.lit(max(u, v))))
+        )
+
+    links = bucket_links(ids, verify, 0.8)
+    assert {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in links.collect()} >= {tuple(sorted((u, m))), tuple(sorted((u, v)))}
+    got = components(links).collect()
+    assert len(got) == n and len({bytes(r.root) for r in got}) == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 9)] + [(7, 3)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
