@@ -11,7 +11,7 @@ from siftline.llm import alignment, trigrams
 from siftline.llm.decontamination import Matcher, decontaminate, find_leaks, normal
 from siftline.llm.exact_dedup import exact_dedup, trim
 from siftline.llm.graph import bucket_links, components
-from siftline.llm.line_dedup import dedup_lines
+from siftline.llm.line_dedup import dedup_lines, dropped_lines
 from siftline.llm.mixing import mix_sources, mixed
 from siftline.llm.near_dedup import near_duplicates
 from siftline.llm.pii import find_pii
@@ -137,6 +137,25 @@ def test_fuzzy_lines_keep_the_first(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_fuzzy_lines_against_all_pairs(spark):
+    rng, lines, edits = random.Random(8), [], "abcdefghijklmnopqrstuvwxyz"
+    for k in range(300):
+        base = " ".join(prose(5000 + k, rng.randint(5, 60)))
+        most = max(1, len(base) // 10)
+        near = list(base)
+        for _ in range((1, rng.randint(1, most), most)[k % 3]):
+            i, how = rng.randrange(len(near)), rng.random()
+            near[i : i + 1] = [rng.choice(edits)] if how < 0.5 else [near[i], rng.choice(edits)] if how < 0.75 else []
+        lines += [base, " ".join("".join(near).split())]
+    got = {r.doc_id for r in dropped_lines(frame(spark, [(i, x, "s") for i, x in enumerate(lines)])).collect()}
+    alike = {(i, j) for i in range(len(lines)) for j in range(i) if min(len(lines[i]), len(lines[j])) >= 0.9 * max(len(lines[i]), len(lines[j])) and alignment.similar(lines[i], lines[j], 0.9)}
+    later = {i for i, _ in alike}
+    assert got <= later and len(later) >= 280
+    single = {i for i in later if i // 2 % 3 == 0}  # one letter changed
+    assert len(got & single) >= 0.99 * len(single)
+    assert len(got) >= 0.93 * len(later)
+
+
 def test_quality_on_held_out_rows(spark):
     rows, labels = [], []
     for i in range(300):
