@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import similar
@@ -116,7 +116,7 @@ def sketcher(sketches: int, least: int) -> Callable:
                     keys.append(np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "digest", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), batch.column(2)], names=["doc_id", "digest", "size", "keys", "text_md5"])
 
     return run
 
@@ -151,8 +151,18 @@ def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], align
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, sketches: int = 16, least: int = 4) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, kept."""
+    return near_classes(df, id_col, text_col, similarity, sketches, least).drop("text_md5")
+
+
+def text_md5(text: Column) -> Column:
+    """Tells apart the texts of rows that repeat an id; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, sketches: int = 16, least: int = 4) -> DataFrame:
+    """near_duplicates with the text_md5 of each row."""
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = written(plain.mapInArrow(sketcher(sketches, least), "doc_id long, digest binary, size int, keys array<long>"), "sketches")
+    sketched = written(plain.withColumn("text_md5", text_md5(F.col("text"))).mapInArrow(sketcher(sketches, least), "doc_id long, digest binary, size int, keys array<long>, text_md5 binary"), "sketches")
     nodes = written(sketched.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id")), "nodes")
     first = sketched.join(nodes.select("digest", F.col("least_id").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
     buckets = first.select(F.explode("keys").alias("bucket"), F.col("digest").alias("id"), "size")
@@ -167,4 +177,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classed = nodes.join(checked_broadcast(roots.withColumnRenamed("id", "digest"), roots.count()), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = classed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("class_size"))
     of = written(classed.select("digest", "root").join(classes, "root").select("digest", "class_id", "class_size"), "classes")
-    return sketched.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return sketched.select("doc_id", "digest", "text_md5").join(of, "digest").select("doc_id", "text_md5", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
