@@ -41,8 +41,8 @@ def mutual_edges(sims: DataFrame, block: str, threshold: float = THRESHOLD) -> D
     return held.where("a < b").join(back, [block, "a", "b"], "left_semi").select(block, "a", "b", "sim")
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, cluster): the least id reachable over edges (a, b); labels spread until nothing changes, lineage cut by checkpoints."""
+def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, cluster): the least id reachable over edges (a, b); labels spread until nothing changes, each round also to the label of the label, so that chains take few rounds; lineage cut by checkpoints."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = nodes.select("id", F.col("id").alias("cluster"))
     if nodes.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
@@ -50,13 +50,13 @@ def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
 
         nodes.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftline-"))
     both = both.checkpoint()
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("heard"))
         new = labels.join(heard, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("heard", "cluster")).alias("cluster"), (F.coalesce("heard", "cluster") < F.col("cluster")).alias("moved")).checkpoint()
         moved = new.where("moved").limit(1).count()
-        labels = new.select("id", "cluster")
-        if not moved:
-            break
+        further = new.select(F.col("id").alias("_of"), F.col("cluster").alias("_further"))
+        labels = new.join(further, F.col("cluster") == F.col("_of")).select("id", F.col("_further").alias("cluster")).checkpoint() if moved else new.select("id", "cluster")
     return labels
 
 

@@ -138,3 +138,11 @@ def test_recall_and_mrr(spark):
     qrels = spark.createDataFrame([(1, 6), (1, 9), (2, 8)], "query_id int, doc_id int")
     got = {r.query_id: (r.recall, r.mrr) for r in evaluation.recall_mrr(ranking, qrels).collect()}
     assert got == {1: (0.5, 0.5), 2: (0.0, 0.0)}
+
+
+def test_clusters_of_a_long_chain(spark):
+    ids = list(range(60))
+    nodes = spark.createDataFrame([(i,) for i in ids] + [(900,)], "id long")
+    edges = spark.createDataFrame([(min(x), max(x)) for x in zip(ids, ids[1:])], "a long, b long")
+    got = {r.id: r.cluster for r in importer.clusters(nodes, edges).collect()}
+    assert got == {i: min(ids) for i in ids} | {900: 900}
