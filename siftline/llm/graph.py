@@ -53,10 +53,10 @@ def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], shar
     fits = near_enough(share)
     for k in range(ROUNDS):
         # most buckets hold one row: fixed-width aggregates find the others, and only their rows go on
-        sizes = written(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("id")).alias("first")).where("n > 1"), f"sizes-{k}")
-        shared = written(rest.join(checked_broadcast(sizes, sizes.count()), "bucket").select("bucket", "id", "size", "n", (F.xxhash64("id") == F.col("first")).alias("leads")), f"shared-{k}")
+        sizes = written(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{k}")
+        shared = written(rest.join(checked_broadcast(sizes, sizes.count()), "bucket").select("bucket", "id", "size", "n"), f"shared-{k}")
         members = shared if k == 0 else members
-        lead = shared.where("leads").groupBy("bucket").agg(F.min("id").alias("lead"), F.min_by("size", "id").alias("lead_size"))
+        lead = shared.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id"), "id", "size")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.size").alias("lead_size"))
         others = written(shared.join(lead, "bucket").where("id <> lead").select("bucket", "id", "size", "n", "lead", "lead_size"), f"others-{k}")
         compared(others.where(fits(F.col("size"), F.col("lead_size"))).select(F.col("lead").alias("u"), F.col("id").alias("x")))
         if k == ROUNDS - 1:
