@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest row count of an (id or id, small value) frame that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Largest row count of a frame of a few numbers or digests a row (some 40 bytes, so 20 MB) that is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 #: Folders of our own, by application, where the session names none.
 _own: dict[str, str] = {}
@@ -27,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         app, master = spark.sparkContext.applicationId, spark.sparkContext.master
         if app not in _own:
-            local = master == "local" or master.startswith("local[")
-            _own[app] = f"file://{tempfile.mkdtemp(prefix='siftline-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_siftline"
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='siftline-')}"
         base = _own[app]
     return base.rstrip("/")
 
@@ -58,6 +59,23 @@ def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def joined_by(rows: DataFrame, facts: DataFrame, key: str, rows_a_key: int = 2_000) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key and, as n, how many rows have it.
+
+    Facts of keys with many rows are broadcast where their number is within
+    bounds, so hot keys never meet in one task; the rest goes through a shuffle.
+    """
+    hot = written(facts.where(F.col("n") >= rows_a_key).drop("n"), "hot")
+    n_hot = hot.count()
+    rest = facts.drop("n")
+    if not n_hot:
+        return rows.join(rest, key)
+    if n_hot > BROADCAST_ROWS:
+        return joined_by(rows, facts, key, rows_a_key * 10)
+    marked = rows.join(F.broadcast(hot), key)
+    return marked.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def ascii_lower(text):
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -1,20 +1,28 @@
-"""Links inside buckets without all pairs, and connected components by shuffles alone."""
+"""Classes of similar texts from shared buckets: links without all pairs, and connected components by shuffles alone.
+
+Nodes are numbers (long) that some earlier table gave out, so that every
+aggregate here has a fixed width.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, forget, written
 
-#: Members of a bucket up to which those that its leader doesn't match meet all others at once; in larger ones they choose new leaders first.
-SMALL = 64
-#: Rounds of leaders before what links don't connect yet meets pair by pair, whatever its number.
-ROUNDS = 3
-#: Members of a bucket that one salted block of the last step holds.
+#: Members of a bucket on either side of one unit of the last step.
 BLOCK = 256
+#: Pairs that meet at one copy of a text; a text with more pairs is dealt out in as many copies.
+PAIRS_A_TEXT = 200
 
 
 def near_enough(share: float):
@@ -22,102 +30,174 @@ def near_enough(share: float):
     return lambda a, b: F.least(a, b) >= F.greatest(a, b) * share
 
 
-def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], share: float, small: int = SMALL) -> DataFrame:
-    """Verified links (a, b) that connect the similar members of each bucket.
+@dataclass(frozen=True)
+class Marks:
+    """How texts are marked: their items, each labelled with its occurrence, as bits of `words` 64-bit numbers. One edit changes at most `per_edit` items."""
 
-    rows: bucket, id, size (of the text; sizes further apart than `share` allows
-    are no pair). verify: gets distinct pairs (a, b), a < b, returns those that
-    hold. Every member is compared with its bucket's leader (by a hash of the id): one
-    pair a row, however large the bucket. In buckets over `small` those that the
-    leader doesn't match choose a new one, for ROUNDS rounds at most. Then, in
-    buckets of any size, a member of each connected component meets one of the
-    bucket's largest component, and at last all members of components that are
-    still apart meet pair by pair, those that a leader matched among them. Only
-    pairs that links connect already, that were compared before or whose sizes
-    differ too much are left out. No step gathers a bucket in one task.
-    """
-    links, tried, rest = [], [], rows
+    items: Callable[[str], list]
+    per_edit: int
+    words: int
 
-    def known() -> DataFrame:
-        roots = written(components(union(links)), "known")
-        return checked_broadcast(roots.withColumnRenamed("id", "_id"), roots.count())
+    def columns(self) -> list[str]:
+        return [f"m{k}" for k in range(self.words)]
 
-    def compared(pairs: DataFrame) -> None:
-        """Verifies what was not compared before."""
-        pairs = pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).where("a <> b").distinct()
-        if tried:
-            pairs = pairs.join(union(tried), ["a", "b"], "left_anti")
-        tried.append(written(pairs, "tried"))
-        links.append(verify(tried[-1]))
+    def marked(self, texts: DataFrame) -> DataFrame:
+        """(node, m0, m1, ...) of (node, text)."""
 
-    fits = near_enough(share)
-    for k in range(ROUNDS):
-        # most buckets hold one row: fixed-width aggregates find the others, and only their rows go on
-        sizes = written(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{k}")
-        shared = written(rest.join(checked_broadcast(sizes, sizes.count()), "bucket").select("bucket", "id", "size", "n"), f"shared-{k}")
-        members = shared if k == 0 else members
-        lead = shared.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id"), "id", "size")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.size").alias("lead_size"))
-        others = written(shared.join(lead, "bucket").where("id <> lead").select("bucket", "id", "size", "n", "lead", "lead_size"), f"others-{k}")
-        compared(others.where(fits(F.col("size"), F.col("lead_size"))).select(F.col("lead").alias("u"), F.col("id").alias("x")))
-        if k == ROUNDS - 1:
-            break
-        lone = others.where(F.col("n") > small).join(links[-1], (F.least("lead", "id") == F.col("a")) & (F.greatest("lead", "id") == F.col("b")), "left_anti")
-        rest = written(lone.select("bucket", "id", "size"), f"rest-{k}")
-        if rest.isEmpty():
-            break
-    for step in ("representatives", "members"):
-        # in a bucket of two the leader has met the only other
-        roots = known()
-        of = members.where("n > 2").join(roots, F.col("id") == F.col("_id"), "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("c"))
-        parts = written(of.groupBy("bucket", "c").agg(F.count("*").alias("of"), F.min("id").alias("rep"), F.min_by("size", "id").alias("rep_size")), "parts")
-        largest = parts.groupBy("bucket").agg(F.max(F.struct("of", "c", "rep", "rep_size")).alias("l"), F.sum("of").alias("n"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "n", "l.c", "l.rep", "l.rep_size")
-        largest = written(largest.withColumnsRenamed({"c": "_c", "rep": "_rep", "rep_size": "_rep_size"}), "largest")
-        if largest.isEmpty():
-            break
-        largest_by = checked_broadcast(largest, largest.count())
-        if step == "representatives":
-            compared(parts.join(largest_by, "bucket").where((F.col("c") != F.col("_c")) & fits(F.col("rep_size"), F.col("_rep_size"))).select(F.col("_rep").alias("u"), F.col("rep").alias("x")))
-            continue
-        # of two members of different components one at least is outside the bucket's largest
-        apart = written(of.join(largest_by, "bucket").select("bucket", "id", "size", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), (F.col("c") != F.col("_c")).alias("outside")), "apart")
-        few = apart.where("outside").select("bucket", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("u"), F.col("size").alias("_su"), F.col("c").alias("_cu"))
-        all_of = apart.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("size").alias("_sx"), F.col("c").alias("_cx"))
-        compared(few.join(all_of, ["bucket", "block"]).where((F.col("_cu") != F.col("_cx")) & fits(F.col("_su"), F.col("_sx"))))
-    return union(links).distinct()
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = np.zeros((batch.num_rows, self.words * 64), np.uint8)
+                for row, text in zip(rows, batch.column(1), strict=True):
+                    seen: dict = {}
+                    for item in self.items(text.as_py()):
+                        seen[item] = n = seen.get(item, 0) + 1
+                        row[xxhash.xxh32_intdigest(f"{n} {item}") % len(row)] = 1
+                bits = np.packbits(rows, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(self.words))], names=["node", *self.columns()])
 
+        return texts.mapInArrow(run, "node long, " + ", ".join(f"{m} long" for m in self.columns()))
+
+    def lost(self, one: str, other: str) -> Column:
+        """How many of one text's bits the other lacks; columns have the prefixes given."""
+        return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{one}{m}").bitwiseAND(F.bitwise_not(F.col(f"{other}{m}")))) for m in self.columns()])
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): each linked id with the least id it is connected to.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): each is
-    one or two shuffles, and the rounds grow with the logarithm of the largest
-    component. Every round's links are written to the shared folder.
+def classes(rows: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hold: Callable[[DataFrame], DataFrame], marks: Marks, share: float) -> DataFrame:
+    """(id, root) of the nodes that have a similar one: root is the least node they are connected to.
+
+    rows: bucket, node, size (of the text; sizes further apart than `share`
+    allows are no pair). texts_of: (node, text) for the nodes that a frame names.
+    hold: the pairs (a, b) that hold of those in a frame (a, b, text_a, text_b).
+
+    First every member of a bucket meets the bucket's least node: one pair a
+    row, however large the bucket. What these links connect is settled. Then, in
+    buckets that still hold more than one component, every member outside the
+    bucket's largest component meets all members of other components, in blocks
+    and within the sizes that the threshold allows; the join itself leaves out
+    pairs whose marks already rule out enough similarity (a bound, not an
+    estimate), so unrelated texts that share a bucket make no rows. So two
+    members of a bucket go uncompared only where links connect them anyway or
+    the bounds say that they can't be similar. The rule is the same at every
+    bucket size, and no step gathers a bucket in one task.
     """
-    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), "links")
+    fits = near_enough(share)
+    full = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    n_full = full.count()
+    members = written(rows.join(checked_broadcast(full, n_full), "bucket").select("bucket", "node", "size", "n"), "members")
+    texts = written(texts_of(members.select("node").distinct()), "texts")
+    lead = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size"))
+    met = members.join(checked_broadcast(lead, n_full), "bucket").where((F.col("node") != F.col("lead")) & fits(F.col("size"), F.col("lead_size")))
+    links = verified(met.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, hold)
+    roots = components(links)
+    n_roots = roots.count()
+
+    # in a bucket of two the first has met the only other
+    of = members.where("n > 2").join(checked_broadcast(roots.withColumnRenamed("id", "node"), n_roots), "node", "left")
+    of = written(of.select("bucket", "node", "size", F.coalesce("root", "node").alias("c")), "of")
+    parts = of.groupBy("bucket", "c").agg(F.count("*").alias("of"))
+    largest = parts.groupBy("bucket").agg(F.max_by("c", "of").alias("most"), F.max("of").alias("in_most"), F.sum("of").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    largest = written(largest.select("bucket", "most", F.ceil(F.col("n") / BLOCK).cast("int").alias("across"), F.ceil((F.col("n") - F.col("in_most")) / BLOCK).cast("int").alias("down")), "largest")
+    n_largest = largest.count()
+    used = [full, members, of, largest]
+    if n_largest:
+        apart = of.join(checked_broadcast(largest, n_largest), "bucket")
+        apart = written(apart.withColumns({"outside": F.col("c") != F.col("most"), "band": F.floor(F.log("size") / math.log(1 / share)).cast("int")}), "apart")
+        nodes = written(apart.select("node").distinct(), "nodes")
+        marked = written(marks.marked(texts.join(checked_broadcast(nodes, nodes.count()), "node", "left_semi").select("node", "text")), "marked")
+        more = written(apart_pairs(apart.join(marked, "node"), marks, share).distinct(), "more")
+        found = verified(more, texts, hold)
+        at = checked_broadcast(roots.withColumnRenamed("id", "_id"), n_roots)
+        for end in ("a", "b"):
+            found = found.join(at, F.col(end) == F.col("_id"), "left").withColumn(end, F.coalesce("root", end)).drop("_id", "root")
+        joined = components(found.distinct())
+        roots = written(composed(roots, joined), "roots")
+        used += [apart, nodes, marked, more]
+    for frame in [*used, texts]:
+        forget(frame)
+    return roots
+
+
+def apart_pairs(marked: DataFrame, marks: Marks, share: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that sizes and marks don't rule out."""
+    place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda end: [F.col(c).alias(f"{end}{c}") for c in ("node", "size", "c", *marks.columns())]
+    few = marked.where("outside").select("bucket", *own("u"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "across", place(F.col("down"), 1).alias("i"))
+    few = few.withColumn("j", each("across")).drop("across")
+    rest = marked.select("bucket", *own("x"), "outside", "band", "down", place(F.col("across"), 2).alias("j"))
+    rest = rest.withColumn("i", each("down")).drop("down")
+    most = F.floor(F.greatest("usize", "xsize") * (1 - share) + F.lit(1e-9)) * marks.per_edit
+    once = ~F.col("outside") | (F.col("unode") < F.col("xnode"))
+    may = (F.col("uc") != F.col("xc")) & once & near_enough(share)(F.col("usize"), F.col("xsize")) & (marks.lost("u", "x") <= most) & (marks.lost("x", "u") <= most)
+    return few.join(rest, ["bucket", "band", "i", "j"]).where(may).select(F.least("unode", "xnode").alias("a"), F.greatest("unode", "xnode").alias("b"))
+
+
+def dealt(pairs: DataFrame, texts: DataFrame, end: str, other: str) -> DataFrame:
+    """pairs with the text of `end`; texts with very many pairs are copied, so no task holds all of one text's pairs."""
+    hubs = written(pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > PAIRS_A_TEXT), "hubs")
+    n_hubs = hubs.count()
+    named = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+    if not n_hubs:
+        return pairs.join(named, end)
+    hubs = checked_broadcast(hubs.select(end, F.ceil(F.col("n") / PAIRS_A_TEXT).cast("int").alias("copies")), n_hubs)
+    copied = named.join(hubs, end, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1))).drop("copies")
+    placed = pairs.join(hubs, end, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    return placed.join(copied, [end, "copy"]).drop("copy")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, hold: Callable) -> DataFrame:
+    """The pairs (a, b) whose texts align."""
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    both = dealt(dealt(pairs, texts, "a", "b"), texts, "b", "a")
+    held = written(hold(both.select("a", "b", "text_a", "text_b")), "held")
+    forget(pairs)
+    return held
+
+
+def composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Two steps of (id, root) as one; ids that only the second knows are kept."""
+    later = then.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+    moved = first.join(checked_broadcast(later, later.count()), F.col("root") == F.col("_id"), "left").select("id", F.coalesce("_root", "root").alias("root"))
+    return moved.unionByName(then.join(first.select("id"), "id", "left_anti"))
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
 
-    before = state(edges)
-    while before[0]:
+def components(links: DataFrame) -> DataFrame:
+    """(id, root): each linked id, roots too, with the least id of its component.
+
+    Every vertex points to its least neighbour, pointers are followed to their
+    ends by doubling, and the links are carried over to those ends; this halves
+    the vertices at least, and goes on until no link is left. So the rounds, and
+    the doublings in each, grow with the logarithm of the largest component.
+    Neighbours meet in aggregates alone, whose partial results take care of
+    stars. Every step is written to the shared folder.
+    """
+    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
+    levels: list[DataFrame] = []
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: neighbours above u go to the least neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its neighbours below it go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        new = written(small.distinct(), "links")
+        up = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "up")
+        n = up.count()
+        while True:
+            ends = up.where("p <> u").select(F.col("u").alias("_u"), F.col("p").alias("q"))
+            next_up = written(up.join(checked_broadcast(ends, n), F.col("p") == F.col("_u"), "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "up")
+            forget(up)
+            up = next_up.select("u", "p")
+            if next_up.where("moved").isEmpty():
+                break
+        levels.append(up)
+        moved = edges
+        for end in ("u", "v"):
+            at = checked_broadcast(up.select(F.col("u").alias("_u"), "p"), n)
+            moved = moved.join(at, F.col(end) == F.col("_u")).withColumn(end, F.col("p")).drop("_u", "p")
+        left = written(moved.where("u <> v").distinct(), "edges")
         forget(edges)
-        edges, now = new, state(new)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+        edges = left
+    if not levels:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    named = [x.select(F.col("u").alias("id"), F.col("p").alias("root")) for x in levels]
+    out = named[-1]
+    for level in reversed(named[:-1]):
+        out = written(composed(level, out), "roots")
+    return out

@@ -15,10 +15,12 @@ miss each other with a chance under 0.0003.
 
 Defined results: null text counts as empty; texts under five words have one
 shingle of all their words; texts without words are copies only of identical
-texts; the least doc_id of a class is its class_id and stays; rows that repeat
-an id are one document; a null id never stands for a class that has another;
-only the id and text columns are read, so other columns can have any name; an
-empty table gives no rows.
+texts; the least doc_id of a class is its class_id and its rows stay; rows that
+repeat an id are judged each by its own text, so they can fall into classes
+that share a class_id, which class_key (a digest of one of the class's texts)
+tells apart; a null id never stands for a class that has another; only the id
+and text columns are read, so other columns can have any name; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import similar
-from .common import checked_broadcast, written
-from .graph import bucket_links, components
+from .common import checked_broadcast, joined_by, written
+from .graph import Marks, classes
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 #: Distinct words whose hashes a worker keeps; beyond it the cache starts afresh.
 CACHED_WORDS = 100_000
+#: A word edit changes one word of each text at most.
+MARKS = Marks(str.split, 1, 32)
 
 
 class Hashes(dict):
@@ -113,20 +117,19 @@ def sketcher(sketches: int, least: int) -> Callable:
                     keys.append(order_minhash(labelled_shingles(hashes), orders, least).view(np.int64))
                 else:
                     digests.append(xxhash.xxh3_128_digest(f"\0{text or ''}"))
-                    keys.append(np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), batch.column(2)], names=["doc_id", "digest", "size", "keys", "text_md5"])
+                    keys.append(np.zeros(sketches, np.int64))
+            flat = np.array(keys, np.int64).reshape(-1, sketches)
+            columns = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(sketches)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), batch.column(2), *columns], names=["doc_id", "digest", "size", "mark", *(f"k{k}" for k in range(sketches))])
 
     return run
 
 
 def word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as their words, joined by single blanks; of rows that share an id those whose text is another one go."""
+    """Texts as their words, joined by single blanks."""
     for batch in batches:
         words = [" ".join(WORD.findall((t.as_py() or "").lower())) for t in batch.column(1)]
-        same = [xxhash.xxh3_128_digest(w) == d for w, d in zip(words, batch.column(0).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["id", "text"]).filter(pa.array(same, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["node", "text"])
 
 
 def word_aligner(similarity: float) -> Callable:
@@ -138,43 +141,47 @@ def word_aligner(similarity: float) -> Callable:
     return run
 
 
-def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], aligner: Callable) -> DataFrame:
-    """The pairs (a, b) whose texts align. texts_of: (id, text) of the ids that a frame (id) names."""
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = written(texts_of(ids), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(aligner, "a binary, b binary"), "held")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, sketches: int = 16, least: int = 4) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, kept."""
-    return near_classes(df, id_col, text_col, similarity, sketches, least).drop("text_md5")
+    """One row per input row: doc_id, class_id, class_size, kept, class_key."""
+    return near_classes(df, id_col, text_col, similarity, sketches, least).drop("mark")
 
 
-def text_md5(text: Column) -> Column:
+def text_mark(text: Column) -> Column:
     """Tells apart the texts of rows that repeat an id; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def some_id(doc_id: Column) -> Column:
+    """An id that is never null: a null one counts as the greatest."""
+    return F.coalesce(doc_id, F.lit((1 << 63) - 1))
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, sketches: int = 16, least: int = 4) -> DataFrame:
-    """near_duplicates with the text_md5 of each row."""
-    plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = written(plain.withColumn("text_md5", text_md5(F.col("text"))).mapInArrow(sketcher(sketches, least), "doc_id long, digest binary, size int, keys array<long>, text_md5 binary"), "sketches")
-    nodes = written(sketched.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id")), "nodes")
-    first = sketched.join(nodes.select("digest", F.col("least_id").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    buckets = first.select(F.explode("keys").alias("bucket"), F.col("digest").alias("id"), "size")
+    """near_duplicates with the text's mark of each row."""
+    plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", text_mark(F.col("text")))
+    names = [f"k{k}" for k in range(sketches)]
+    sketched = written(plain.select("doc_id", "text", "mark").mapInArrow(sketcher(sketches, least), f"doc_id long, digest binary, size int, mark long, {', '.join(f'{k} long' for k in names)}"), "sketches")
+    # equal word sequences are one node; its own number keeps all later keys and aggregates at a fixed width
+    rep = some_id(F.col("doc_id"))
+    nodes = sketched.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id"), F.min(rep).alias("rep_id"), F.min_by("mark", rep).alias("rep_mark"), *[F.min(c).alias(c) for c in ("size", *names)])
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    buckets = nodes.where("size > 0").select(F.explode(F.array(*names)).alias("bucket"), "node", "size")
+
     def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(checked_broadcast(ids.withColumnRenamed("id", "digest"), ids.count()), "digest", "left_semi").select(F.col("least_id").alias("doc_id"), F.col("digest").alias("id"))
+        ids = written(ids, "ids")
+        n_ids = ids.count()
+        wanted = nodes.join(checked_broadcast(ids, n_ids), "node", "left_semi").select("node", "rep_id", "rep_mark")
         wanted = written(wanted, "wanted")
-        found = plain.join(checked_broadcast(wanted, wanted.count()), "doc_id")
-        return found.select("id", "text").mapInArrow(word_texts, "id binary, text string").dropDuplicates(["id"])
-
-    links = bucket_links(buckets, lambda pairs: verified(pairs, texts_of, word_aligner(similarity)), similarity)
-    roots = written(components(links), "roots")
-    classed = nodes.join(checked_broadcast(roots.withColumnRenamed("id", "digest"), roots.count()), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    classes = classed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of = written(classed.select("digest", "root").join(classes, "root").select("digest", "class_id", "class_size"), "classes")
-    return sketched.select("doc_id", "digest", "text_md5").join(of, "digest").select("doc_id", "text_md5", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        found = plain.join(checked_broadcast(wanted, n_ids), (some_id(F.col("doc_id")) == F.col("rep_id")) & (F.col("mark") == F.col("rep_mark")))
+        found = written(found.select("node", "text").mapInArrow(word_texts, "node long, text string"), "found")
+        # rows that repeat both id and text
+        return found if found.count() == n_ids else found.dropDuplicates(["node"])
+
+    roots = classes(buckets, texts_of, lambda pairs: pairs.mapInArrow(word_aligner(similarity), "a long, b long"), MARKS, similarity)
+    roots = roots.select(F.col("id").alias("node"), "root")
+    classed = nodes.select("node", "digest", "n", "least_id").join(checked_broadcast(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = written(classed, "classed")
+    by_root = written(classed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n"), F.hex(F.min_by("digest", "node")).alias("class_key")), "by_root")
+    of = written(joined_by(classed.select("root", "digest", F.col("n").alias("of")), by_root, "root").select("digest", F.col("of").alias("n"), "class_id", "class_size", "class_key"), "of")
+    out = joined_by(sketched.select("doc_id", "digest", "mark"), of, "digest")
+    return out.select("doc_id", "mark", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "class_key")

@@ -7,13 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import alignment, trigrams
+from siftline.llm import alignment, graph, trigrams
 from siftline.llm.decontamination import Matcher, decontaminate, find_leaks, normal
 from siftline.llm.exact_dedup import exact_dedup, trim
-from siftline.llm.graph import bucket_links, components
+from siftline.llm.graph import classes, components
 from siftline.llm.line_dedup import dedup_lines, dropped_lines
 from siftline.llm.mixing import mix_sources, mixed
-from siftline.llm.near_dedup import near_duplicates
+from siftline.llm.near_dedup import near_duplicates, word_aligner
 from siftline.llm.pii import find_pii
 from siftline.llm.quality import score_quality, select_quality
 from siftline.llm.secrets import RULES, find_secrets
@@ -73,11 +73,7 @@ def test_misra_gries_keeps_what_is_frequent():
     assert "x" in counts and counts["x"] >= 40 - len(stream) / 4
 
 
-@pytest.mark.parametrize("small", [64, 4])
-def test_near_duplicates_against_all_pairs(spark, small, monkeypatch):
-    import siftline.llm.graph as graph
-
-    monkeypatch.setattr(graph.bucket_links, "__defaults__", (small,))
+def test_near_duplicates_against_all_pairs(spark):
     rng, rows = random.Random(3), []
     for g in range(12):
         base = prose(g, 80)
@@ -86,10 +82,13 @@ def test_near_duplicates_against_all_pairs(spark, small, monkeypatch):
             for _ in range(k % 3):
                 words[rng.randrange(80)] = "changed"
             rows.append((len(rows), " ".join(words), "s"))
-    rows += [(900, None, "s"), (901, "", "s"), (902, "!!", "s"), (903, "ab cd", None), (904, "AB  cd", None), (None, "lonely words of a null id", None)]
+    rows += [(900, None, "s"), (901, "", "s"), (902, "!!", "s"), (903, "ab cd", None), (904, "AB  cd", None), (None, "lonely words of a null id", None), (None, " ".join(prose(55, 40)), None), (None, " ".join(["changed", *prose(55, 40)[1:]]), None)]
     repeat = (0, " ".join(prose(77, 60)), "s")  # an id that comes again with another text
     df = frame(spark, [repeat, *rows]).withColumn("class_id", F.lit("clash"))
-    got = {r.doc_id: r for r in near_duplicates(df).collect()}
+    every = near_duplicates(df).collect()
+    assert len(every) == len(rows) + 1
+    assert sorted(r.class_size for r in every if r.doc_id is None) == [1, 2, 2] and len({r.class_key for r in every if r.doc_id == 0}) == 2
+    got = {r.doc_id: r for r in every if r.doc_id != 0 or r.class_size > 1}
     words = {i: (t or "").lower().split() for i, t, _ in rows}
     for i, _, _ in rows:
         for j, _, _ in rows:
@@ -98,32 +97,68 @@ def test_near_duplicates_against_all_pairs(spark, small, monkeypatch):
                 assert alike == (got[i].class_id == got[j].class_id)
     assert got[903].class_id == got[904].class_id == 903 and got[903].kept and not got[904].kept
     assert got[900].class_id == got[901].class_id == 900 and got[902].kept
-    assert len(got) == len(rows)
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [5, 64, 65, 300])
-def test_bucket_links_reach_members_that_a_leader_settled(spark, n):
-    ids = spark.range(n).select(F.lit(1).alias("bucket"), F.col("id").cast("string").cast("binary").alias("id"), F.lit(9).alias("size"))
-    lead, m, u, v, *_ = (bytes(r.id) for r in ids.orderBy(F.xxhash64("id")).collect())
-    # u and v match no leader; u ~ m ~ lead, v ~ u, and all others ~ lead
-
-    def verify(pairs):
-        a, b, lone = F.col("a"), F.col("b"), [F.lit(u), F.lit(v)]
-        return pairs.where(
-            ((a == F.lit(lead)) & ~b.isin(lone)) | ((b == F.lit(lead)) & ~a.isin(lone)) | ((F.least("a", "b") == F.lit(min(u, m))) & (F.greatest("a", "b") == F.lit(max(u, m)))) | ((F.least("a", "b") == F.lit(min(u, v))) & (F.greatest("a", "b") == F.lit(max(u, v))))
-        )
-
-    links = bucket_links(ids, verify, 0.8)
-    assert {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in links.collect()} >= {tuple(sorted((u, m))), tuple(sorted((u, v)))}
-    got = components(links).collect()
-    assert len(got) == n and len({bytes(r.root) for r in got}) == 1
+def by_force(texts, buckets, share):
+    """Root of each text that some other text of its bucket, or a chain of such, resembles."""
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if buckets[i] & buckets[j] and root(i) != root(j) and alignment.similar(texts[i].split(), texts[j].split(), share):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    roots = {i: root(i) for i in range(len(texts))}
+    return {i: r for i, r in roots.items() if list(roots.values()).count(r) > 1}
+
+
+@pytest.mark.parametrize(("n", "block"), [(5, 256), (64, 7), (65, 256), (300, 16)])
+def test_classes_of_families_in_one_bucket(spark, n, block, monkeypatch):
+    """Families that share most of a passage, chains among them, all in one bucket (and some in a second one)."""
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph, "PAIRS_A_TEXT", 20)
+    rng, common, texts = random.Random(n), prose(1, 30), []
+    for i in range(n):
+        if i % 3 == 0 or not texts:
+            own = prose(100 + rng.randrange(n), rng.randint(10, 40))
+        else:  # a chain: four more words changed than in the one before
+            own = texts[-1].split()[30:]
+            for _ in range(4):
+                own[rng.randrange(len(own))] = rng.choice(WORDS)
+        texts.append(" ".join(common + own))
+    buckets = [{1} | ({2} if i % 2 else set()) for i in range(n)]
+    rows = spark.createDataFrame([(b, i, len(texts[i].split())) for i in range(n) for b in buckets[i]], "bucket long, node long, size int")
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = classes(rows, lambda ids: table.join(ids, "node"), lambda pairs: pairs.mapInArrow(word_aligner(0.8), "a long, b long"), graph.Marks(str.split, 1, 4), 0.8)
+    assert {r.id: r.root for r in got.collect()} == by_force(texts, buckets, 0.8)
+
+
+def test_marks_never_rule_out_a_pair_that_holds(spark):
+    rng, rows = random.Random(12), []
+    marks = graph.Marks(lambda t: [t[i : i + 2] for i in range(len(t) - 1)], 2, 2)
+    for k in range(60):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randint(2, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+        rows += [(2 * k, a), (2 * k + 1, "".join(b))]
+    got = {r.node: r for r in marks.marked(spark.createDataFrame(rows, "node long, text string")).collect()}
+    for k in range(60):
+        one, other = ([v & (1 << 64) - 1 for v in got[2 * k + e][1:]] for e in (0, 1))
+        lost = sum((x & ~y).bit_count() for x, y in zip(one, other, strict=True))
+        assert lost <= 2 * edit(rows[2 * k][1], rows[2 * k + 1][1])
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 9)] + [(7, 3)]
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 9)] + [(7, 3)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(21)} == {0} and {got[100 + i] for i in range(9)} == {100}
+    assert {got[i] for i in range(61)} == {0} and {got[100 + i] for i in range(9)} == {100}
 
 
 def test_fuzzy_lines_keep_the_first(spark):
