@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftline.llm.common import checked_broadcast, documents, written
 from siftline.llm.decontamination import decontaminate
 from siftline.llm.mixing import mixed
-from siftline.llm.near_dedup import near_classes, text_md5
+from siftline.llm.near_dedup import near_classes, some_id, text_mark
 from siftline.llm.quality import select_quality
 from siftline.llm.sharding import interleave_shards
 
@@ -24,8 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the least doc_id; where an id repeats with another text, only the rejected text goes."""
-    gone = written(near_classes(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_md5").alias("_gone_md5")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone, gone.count()), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (text_md5(docs["text"]) == F.col("_gone_md5")), "left_anti").select(*docs.columns)
+    gone = near_classes(docs).where("not kept").select(some_id(F.col("doc_id")).alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
+    gone = written(gone, "gone")
+    same = (some_id(docs["doc_id"].cast("long")) == gone["_gone_id"]) & (text_mark(docs["text"]) == gone["_gone_mark"])
+    return docs.join(checked_broadcast(gone, gone.count()), same, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
