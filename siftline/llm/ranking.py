@@ -1,19 +1,34 @@
-"""Exact row numbers inside large groups without a window over a whole group."""
+"""Exact row numbers inside large groups without a window over a whole group.
+
+The frames here have columns of our own alone; a caller's row travels in one
+struct column (`carried`), so its columns can have any name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast
+from .common import checked_broadcast, joined_by, written
 
-#: Rows per block; the number of blocks, and so the table of offsets that is broadcast, stays under BLOCKS.
+#: Rows per block; the number of blocks of large groups stays under BLOCKS.
 BLOCK_ROWS, BLOCKS = 1_000, 50_000
 
 
-def shuffle_key(id_col: Column, seed: int) -> Column:
-    """A seeded pseudo-random order of ids that any SQL engine can repeat."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def carried(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """The row as one struct, without the columns that the operator replaces."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.struct(*kept) if kept else F.struct(F.lit(None).cast("int").alias("_"))
+
+
+def unpacked(df: DataFrame, without: tuple[str, ...] = (), row: str = "row") -> list[Column]:
+    """The columns that carried() packed, df being the frame it was made of."""
+    return [F.col(row).getField(c).alias(c) for c in df.columns if c not in without]
+
+
+def shuffle_key(seed: int, *parts: Column) -> Column:
+    """A seeded pseudo-random order that any SQL engine can repeat; null parts count as empty."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
 def key_fraction(key: Column) -> Column:
@@ -36,23 +51,21 @@ def numbered(df: DataFrame, group: str | None, block: Column, order: list[Column
     size = F.sum(weight) if weight else F.count("*")
     counts = df.groupBy(*keys).agg(size.alias("_n"))
     before = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"_o{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = written(counts.select(*[F.col(k).alias(f"_o{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), "offsets")
     inside = Window.partitionBy(*keys).orderBy(*order)
     place = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(inside) - 1
     same = F.col("_block") == F.col("_o_block")
     if group:
         same = same & (F.col(group) == F.col(f"_o{group}"))
-    placed = df.withColumn("_in", place).join(F.broadcast(offsets), same)
+    placed = df.withColumn("_in", place).join(checked_broadcast(offsets, offsets.count()), same)
     return placed.withColumn(name, F.col("_offset") + F.col("_in")).drop("_block", "_offset", "_in", *[f"_o{k}" for k in keys])
 
 
-def with_sizes(df: DataFrame, group: str, weight: str | None = None) -> tuple[DataFrame, int, int]:
-    """df with _of (rows of its group) and, for a weight, _weight_of; the rows of all; the groups."""
-    sums = [F.count("*").alias("_of")] + ([F.sum(weight).alias("_weight_of")] if weight else [])
-    sizes = df.groupBy(group).agg(*sums)
-    total, groups = sizes.agg(F.coalesce(F.sum("_of"), F.lit(0)), F.count("*")).collect()[0]
-    renamed = sizes.withColumnRenamed(group, "_group")
-    return df.join(checked_broadcast(renamed, groups), F.col(group) == F.col("_group")).drop("_group"), total, groups
+def with_sizes(df: DataFrame, group: str) -> tuple[DataFrame, int]:
+    """df with _of (rows of its group), and the rows of all."""
+    sizes = written(df.groupBy(group).agg(F.count("*").alias("n"), F.count("*").alias("_of")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    return joined_by(df, sizes, group), total
 
 
 def group_key(source: Column) -> Column:
