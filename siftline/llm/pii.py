@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import digits, listed, located, luhn, matches
+from .spans import digits, located, luhn, matches, scanned
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -61,7 +61,7 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     only = {"email": text.contains("@"), "phone": text.contains("+"), "email_wide": text.contains("at]") | text.contains("at)")}
     df = df.withColumns({f"_h_{k}": matches(text, p, only.get(k)) for k, p in PATTERNS.items()})
     df = df.withColumn("_h_card", F.when(F.exists("_h_card", lambda h: F.length(h) >= 13), F.col("_h_card")).otherwise(F.expr("cast(array() as array<string>)")))
-    df = df.select("doc_id", "_text", *[located(text, p, F.col(f"_h_{k}")).alias(k) for k, p in PATTERNS.items()])
+    df = df.select("doc_id", "_text", *[located(text, p, F.col(f"_h_{k}"), AROUND).alias(k) for k, p in PATTERNS.items()])
 
     octets = lambda m: F.forall(F.split(m, r"\."), lambda o: F.coalesce(F.regexp_replace(o, "^0+(?=.)", "").try_cast("bigint"), F.lit(999)) <= 255)
     n_digits = lambda m: F.length(digits(m))
@@ -81,10 +81,10 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = F.filter(k, lambda s: (F.length(s["match"]) <= 19) | octets(s["match"]))
 
         def tag(s: Column) -> Column:
-            around = F.lower(F.substring(text, F.greatest(s["start"] - AROUND, F.lit(0)) + 1, (s["end"] - s["start"]) + 2 * AROUND))
+            around = F.lower(F.concat(s["before"], s["match"], s["after"]))
             return F.struct(
                 F.lit(k.split("_")[0]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), checks[k](s["match"]).alias("base"), F.lit(k.endswith("_wide")).alias("wide"),
-                around.alias("around"), F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("").alias("left"), F.substring(text, s["end"] + 1, F.lit(1)).alias("right"),
+                around.alias("around"), F.right(s["before"], F.lit(1)).alias("left"), F.left(s["after"], F.lit(1)).alias("right"),
             )
 
         return F.transform(found, tag)
@@ -170,11 +170,25 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         return F.struct(ranks[c["kind"]].cast("int").alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.round(1 / (1 + F.exp(-score)), 6).alias("p"), c["base"].alias("base"))
 
     seen = found.select("doc_id", F.transform("cands", judged).alias("all"))
-    plain = lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"))
-    seen = seen.select("doc_id", F.array_sort(F.transform(F.filter("all", lambda s: s["base"]), plain)).alias("base"), F.filter("all", lambda s: ~s["base"] & (s["p"] >= threshold)).alias("more"))
-    free = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    seen = seen.withColumn("more", F.array_sort(F.transform(free, plain)))
-    # of added spans that overlap, the one first by kind, then by start, stays
-    none = F.expr("cast(array() as array<struct<rank:int,start:int,end:int,kind:string,p:double>>)")
-    apart = F.aggregate("more", none, lambda out, s: F.when(F.exists(out, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), out).otherwise(F.concat(out, F.array(s))))
-    return seen.select("doc_id", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
+    seen = seen.select("doc_id", F.filter("all", lambda s: s["base"] | (s["p"] >= threshold)).alias("all"))
+    return seen.select("doc_id", F.transform(F.array_sort(F.filter("all", lambda s: s["base"])), plain).alias("base"), F.array_sort(F.transform(chosen(F.col("all")), plain)).alias("spans"))
+
+
+def plain(s: Column) -> Column:
+    return F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"))
+
+
+def chosen(spans: Column) -> Column:
+    """All base spans, and of the others those that overlap none of them; of others that overlap, the one that starts first stays, then the first by kind.
+
+    Two scans, one from each end, so the time is near linear in the number of spans.
+    """
+    far = F.lit((1 << 31) - 1)
+    at = lambda s: F.struct(s["start"].alias("start"), (~s["base"]).alias("added"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"))
+    kind = "struct<start:int,added:boolean,rank:int,end:int,kind:string,p:double,next:int,kept:boolean>"
+    flagged = lambda s, next_, kept: F.struct(*[s[c].alias(c) for c in ("start", "added", "rank", "end", "kind", "p")], next_.alias("next"), kept.alias("kept"))
+    backwards = scanned(F.reverse(F.array_sort(F.transform(spans, at))), far, lambda n, s: F.when(s["added"], n).otherwise(s["start"]), lambda n, s: flagged(s, n, F.lit(False)), kind)
+    free = lambda ends, s: ~s["added"] | ((s["start"] >= ends["base"]) & (s["end"] <= s["next"]) & (s["start"] >= ends["own"]))
+    ends = lambda e, s: F.struct(F.when(s["added"], e["base"]).otherwise(F.greatest(e["base"], s["end"])).alias("base"), F.when(s["added"] & free(e, s), s["end"]).otherwise(e["own"]).alias("own"))
+    swept = scanned(F.reverse(backwards), F.struct(F.lit(0).alias("base"), F.lit(0).alias("own")), ends, lambda e, s: flagged(s, s["next"], free(e, s)), kind)
+    return F.filter(swept, lambda s: s["kept"])
