@@ -50,13 +50,14 @@ class WordEncoder:
     The tokenizer never joins characters across a blank, so the ids of
     blank-free pieces are kept and joined. It also parts letters from the
     punctuation after them, apostrophes apart, and ignores case, so a new piece
-    of letters and a tail of such marks is made of the ids of both. A worker
-    process keeps its encoder from task to task.
+    of ASCII letters and a tail of such marks is made of the ids of both (other
+    letters may turn into a letter and a mark that belongs to the tail). A
+    worker process keeps its encoder from task to task.
     """
 
     of_process: dict = {}
 
-    PIECE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?")
+    PIECE = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)?")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,7 +79,7 @@ class WordEncoder:
                 self.ids[piece] = self.old_ids[piece]
                 continue
             m = self.PIECE.fullmatch(piece)
-            made[piece] = key = (m[1].lower() if m[1].isascii() else m[1], m[2] or "") if m else (piece, "")
+            made[piece] = key = (m[1].lower(), m[2] or "") if m else (piece, "")
             new.update(key)
         new.difference_update(self.parts)
         known = new.intersection(self.old_parts)
