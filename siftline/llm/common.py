@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest row count of a frame of a few numbers or digests a row (some 40 bytes, so 20 MB) that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Row count up to which such a frame is broadcast whole rather than its hot keys alone.
+SMALL_ROWS = 20_000
 
 #: Folders of our own, by application, where the session names none.
 _own: dict[str, str] = {}
@@ -60,14 +62,17 @@ def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
 
 def joined_by(rows: DataFrame, facts: DataFrame, key: str, rows_a_key: int = 2_000) -> DataFrame:
-    """rows with the columns of facts, which has one row for each key and, as n, how many rows have it.
+    """rows with the columns of facts, a written frame with one row for each key and, as n, how many rows have it.
 
-    Facts of keys with many rows are broadcast where their number is within
-    bounds, so hot keys never meet in one task; the rest goes through a shuffle.
+    A few facts are broadcast whole. Of many, those of keys with many rows are
+    broadcast where their number is within bounds, so hot keys never meet in one
+    task; the rest goes through a shuffle.
     """
+    rest = facts.drop("n")
+    if facts.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(rest), key)
     hot = written(facts.where(F.col("n") >= rows_a_key).drop("n"), "hot")
     n_hot = hot.count()
-    rest = facts.drop("n")
     if not n_hot:
         return rows.join(rest, key)
     if n_hot > BROADCAST_ROWS:

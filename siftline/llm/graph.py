@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,8 @@ class Marks:
     per_edit: int
     words: int
 
-    def columns(self) -> list[str]:
-        return [f"m{k}" for k in range(self.words)]
-
     def marked(self, texts: DataFrame) -> DataFrame:
-        """(node, m0, m1, ...) of (node, text)."""
+        """(node, bits, marks): how many bits are set, and the bits, of (node, text)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -52,14 +48,16 @@ class Marks:
                     for item in self.items(text.as_py()):
                         seen[item] = n = seen.get(item, 0) + 1
                         row[xxhash.xxh32_intdigest(f"{n} {item}") % len(row)] = 1
-                bits = np.packbits(rows, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(self.words))], names=["node", *self.columns()])
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * self.words
+                marks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.packbits(rows, axis=1).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows.sum(axis=1, dtype=np.int32)), marks], names=["node", "bits", "marks"])
 
-        return texts.mapInArrow(run, "node long, " + ", ".join(f"{m} long" for m in self.columns()))
+        return texts.mapInArrow(run, "node long, bits int, marks array<long>")
 
-    def lost(self, one: str, other: str) -> Column:
-        """How many of one text's bits the other lacks; columns have the prefixes given."""
-        return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{one}{m}").bitwiseAND(F.bitwise_not(F.col(f"{other}{m}")))) for m in self.columns()])
+    def apart(self, one: str, other: str) -> Column:
+        """The greater of the numbers of bits that one text has and the other lacks; columns have the prefixes given."""
+        lacking = F.aggregate(F.zip_with(f"{one}marks", f"{other}marks", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+        return lacking + F.greatest(F.lit(0), F.col(f"{other}bits") - F.col(f"{one}bits"))
 
 
 def classes(rows: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hold: Callable[[DataFrame], DataFrame], marks: Marks, share: float) -> DataFrame:
@@ -102,9 +100,10 @@ def classes(rows: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hold: C
     if n_largest:
         apart = of.join(checked_broadcast(largest, n_largest), "bucket")
         apart = written(apart.withColumns({"outside": F.col("c") != F.col("most"), "band": F.floor(F.log("size") / math.log(1 / share)).cast("int")}), "apart")
-        nodes = written(apart.select("node").distinct(), "nodes")
+        nodes = written(apart.select("node").distinct(), "nodes")  # a node has few buckets, as many as sketches
         marked = written(marks.marked(texts.join(checked_broadcast(nodes, nodes.count()), "node", "left_semi").select("node", "text")), "marked")
-        more = written(apart_pairs(apart.join(marked, "node"), marks, share).distinct(), "more")
+        listed = apart.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+        more = written(apart_pairs(apart.join(marked.join(listed, "node"), "node"), marks, share), "more")
         found = verified(more, texts, hold)
         at = checked_broadcast(roots.withColumnRenamed("id", "_id"), n_roots)
         for end in ("a", "b"):
@@ -118,18 +117,19 @@ def classes(rows: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hold: C
 
 
 def apart_pairs(marked: DataFrame, marks: Marks, share: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that sizes and marks don't rule out."""
+    """Pairs (a, b) of one bucket and different components that sizes and marks don't rule out, each pair in the first bucket that it shares."""
     place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda end: [F.col(c).alias(f"{end}{c}") for c in ("node", "size", "c", *marks.columns())]
+    own = lambda end: [F.col(c).alias(f"{end}{c}") for c in ("node", "size", "c", "bits", "marks", "buckets")]
     few = marked.where("outside").select("bucket", *own("u"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "across", place(F.col("down"), 1).alias("i"))
     few = few.withColumn("j", each("across")).drop("across")
     rest = marked.select("bucket", *own("x"), "outside", "band", "down", place(F.col("across"), 2).alias("j"))
     rest = rest.withColumn("i", each("down")).drop("down")
     most = F.floor(F.greatest("usize", "xsize") * (1 - share) + F.lit(1e-9)) * marks.per_edit
     once = ~F.col("outside") | (F.col("unode") < F.col("xnode"))
-    may = (F.col("uc") != F.col("xc")) & once & near_enough(share)(F.col("usize"), F.col("xsize")) & (marks.lost("u", "x") <= most) & (marks.lost("x", "u") <= most)
-    return few.join(rest, ["bucket", "band", "i", "j"]).where(may).select(F.least("unode", "xnode").alias("a"), F.greatest("unode", "xnode").alias("b"))
+    may = (F.col("uc") != F.col("xc")) & once & near_enough(share)(F.col("usize"), F.col("xsize")) & (marks.apart("u", "x") <= most)
+    here = F.col("bucket") == F.array_min(F.array_intersect("ubuckets", "xbuckets"))
+    return few.join(rest, ["bucket", "band", "i", "j"]).where(may & here).select(F.least("unode", "xnode").alias("a"), F.greatest("unode", "xnode").alias("b"))
 
 
 def dealt(pairs: DataFrame, texts: DataFrame, end: str, other: str) -> DataFrame:

@@ -43,7 +43,7 @@ SHINGLE = 5
 #: Distinct words whose hashes a worker keeps; beyond it the cache starts afresh.
 CACHED_WORDS = 100_000
 #: A word edit changes one word of each text at most.
-MARKS = Marks(str.split, 1, 32)
+MARKS = Marks(str.split, 1, 128)
 
 
 class Hashes(dict):
