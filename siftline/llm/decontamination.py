@@ -1,6 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are compared as lower-cased words joined by single blanks.
+Texts and test items are compared as lower-cased words joined by single blanks,
+with a blank before the first and after the last, so an item stands for whole
+words: "cat" is not found in "concatenate", and a longer item that begins or ends
+inside a word pays an edit for that.
 An item of L characters may differ in at most ``rate * L`` edits. It is split
 into one piece more than that budget, so at least one piece stands unchanged in
 any stretch of text within the budget. An Aho-Corasick automaton finds all
@@ -8,9 +11,10 @@ piece hits in one pass over a text; each hit gives the window in which the item
 would have to lie, and Myers' bit-parallel search gives the least distance
 there. Windows of an item that overlap are searched as one.
 
-The items are a stated query set. They are read in blocks of at most
-`block_items` (some MB), each block shipped to the tasks and held against all
-documents, so a larger benchmark takes more passes, not more memory.
+The items are a stated query set. They are read in blocks of about
+`block_items` (some MB). One block is shipped to the tasks and held against all
+documents before the next is read, so a larger benchmark takes more passes, not
+more memory; where there are several, each pass is written to the shared folder.
 
 Defined results: null texts and items count as empty; an item without words
 matches nothing; items shorter than one character per piece use single
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import best_match, places
+from .common import written
 
 WORD = re.compile(r"\w+")
 RATE, BLOCK_ITEMS = 0.06, 20_000
@@ -50,7 +55,7 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items if t]
+        self.items = [(i, f" {t} ", int(len(t) * rate)) for i, t in items if t]
         self.places: dict[int, dict] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, budget) in enumerate(self.items):
@@ -66,6 +71,7 @@ class Matcher:
         """(item id, distance, budget, end in the normalised text) for each item that occurs within its budget."""
         if not self.items or not text:
             return []
+        length_of_text, text = len(text), f" {text} "
         windows: dict[int, list[list[int]]] = {}
         for end, (length, whose) in self.automaton.iter(text):
             for k, at in whose:
@@ -89,14 +95,19 @@ class Matcher:
                     if not hit[0]:
                         break
             if best:
-                out.append((item_id, best[0], budget, best[1]))
+                # without the blanks on both sides
+                out.append((item_id, best[0], budget, min(length_of_text, max(0, best[1] - 2))))
         return out
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[list[tuple[int, str]]]:
-    """The normalised items in blocks of about block_items; each is the only one on the driver."""
+def blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of about block_items there are, and the normalised items of each."""
     items = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
     n = max(1, -(-items.count() // block_items))
+    return n, read_blocks(items, n)
+
+
+def read_blocks(items: DataFrame, n: int) -> Iterator[list[tuple[int, str]]]:
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
         yield sorted((r.item if r.item is not None else -1, normal(r.text)) for r in rows)
@@ -118,15 +129,18 @@ def find_leaks(df: DataFrame, items: DataFrame, rate: float = RATE, id_col: str
     """(doc_id, item_id, distance, budget, ends_at) of all matches."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in blocks(items, item_col, item_text_col, block_items):
+    n, each = blocks(items, item_col, item_text_col, block_items)
+    for block in each:
         found = docs.mapInArrow(finder(block, rate), "doc_id long, item_id long, distance int, budget int, ends_at int")
+        found = written(found, "leaks") if n > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(df: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """df without the rows that hold an item; each block of items is a filter, without a shuffle."""
-    for block in blocks(items, item_col, item_text_col, block_items):
+    n, each = blocks(items, item_col, item_text_col, block_items)
+    for block in each:
 
         def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
@@ -135,4 +149,5 @@ def decontaminate(df: DataFrame, items: DataFrame, rate: float = RATE, text_col:
                 yield batch.filter(pa.array([not matcher.find(normal(t)) for t in texts], pa.bool_()))
 
         df = df.mapInArrow(clean, df.schema)
+        df = written(df, "clean") if n > 1 else df
     return df

@@ -146,22 +146,23 @@ def graded(labels: DataFrame) -> DataFrame:
     """(doc_id, grade) of labels with a quality and a toxic flag."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") < 1, 1).otherwise(2)
-    return known.groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade).alias("grade"))
 
 
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Pieces()
     for batch in batches:
-        rows = [features(t, known) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["grade", "features"])
+        rows = [features(t, known) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "grade", "features"])
 
 
 def train(df: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | int:
     """The fitted model, or the only grade there is."""
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    # ids may repeat in the documents; the bound holds for what comes to the driver, too
-    got = texts.select("grade", "text").mapInArrow(featured, "grade int, features binary").limit(2 * max_train).collect()
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    made = texts.select("doc_id", "grade", "text").mapInArrow(featured, "doc_id long, grade int, features binary")
+    # of rows that repeat an id the one with the least features counts, so the bound holds and the model is the same each time
+    got = made.groupBy("doc_id").agg(F.min(F.struct("features", "grade")).alias("r")).select("r.*").collect()
     got = sorted((r.features, r.grade) for r in got)
     grades = np.array([g for _, g in got], dtype=np.int64)
     if len(set(grades)) < 2:
