@@ -41,30 +41,41 @@ SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5
 NULL_ID = -(1 << 63)
 END_ID = 2
 #: Distinct pieces whose ids a worker keeps, in each of two generations; the older one goes when the younger is full.
-CACHED_PIECES = 350_000
+CACHED_PIECES = 700_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that a byte-level vocabulary has for each byte: itself, or the next one from 256 on where it isn't printable."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class WordEncoder:
     """Ids of texts as bytes.
 
     The tokenizer never joins characters across a blank, so the ids of
-    blank-free pieces are kept and joined. It also parts letters from the
-    punctuation after them, apostrophes apart, and ignores case, so a new piece
-    of ASCII letters and a tail of such marks is made of the ids of both (other
-    letters may turn into a letter and a mark that belongs to the tail). A
-    worker process keeps its encoder from task to task.
+    blank-free pieces are kept and joined. It ignores case, takes a run of
+    letters as one word, and parts letters from the punctuation after them,
+    apostrophes apart. So a new piece of plain Latin letters (ASCII and Latin-1:
+    each is whole in normal form and stays one letter in lower case) goes to the
+    tokenizer's model directly, in the letters that stand for its bytes, and a
+    tail of ASCII marks is encoded by itself. All other pieces go through the
+    whole tokenizer. A worker process keeps its encoder from task to task.
     """
 
     of_process: dict = {}
 
-    PIECE = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)?")
+    PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids, self.parts = Tokenizer.from_file(path), {}, {"": b""}
+        self.tokenizer, self.ids, self.parts, self.tails = Tokenizer.from_file(path), {}, {}, {}
         self.old_ids, self.old_parts = {}, {}
+        self.model, letters = self.tokenizer.model, byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -73,29 +84,42 @@ class WordEncoder:
         return cls.of_process[path]
 
     def learn(self, pieces: set[str]) -> None:
-        made, new = {}, set()
+        ids, parts, known, old = self.ids, self.parts, self.old_ids, self.old_parts
+        match, tokenize, pack = self.PIECE.fullmatch, self.model.tokenize, struct.pack
+        others = []
         for piece in pieces:
-            if piece in self.old_ids:
-                self.ids[piece] = self.old_ids[piece]
+            if piece in known:
+                ids[piece] = known[piece]
+                continue
+            m = match(piece)
+            if not m:
+                others.append(piece)
                 continue
-            m = self.PIECE.fullmatch(piece)
-            made[piece] = key = (m[1].lower(), m[2] or "") if m else (piece, "")
-            new.update(key)
-        new.difference_update(self.parts)
-        known = new.intersection(self.old_parts)
-        self.parts.update(zip(known, map(self.old_parts.__getitem__, known), strict=True))
-        new = list(new - known)
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for piece, (core, tail) in made.items():
-            self.ids[piece] = self.parts[core] + self.parts[tail]
+            word, tail = m.groups("")
+            word = word.lower()
+            found = parts.get(word) or old.get(word)
+            if found is None:
+                tokens = tokenize(word if word.isascii() else word.translate(self.letters))
+                found = pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            parts[word] = found
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole([tail])[0]
+                found += self.tails[tail]
+            ids[piece] = found
+        ids.update(zip(others, self.whole(others), strict=True))
+
+    def whole(self, pieces: list[str]) -> list[bytes]:
+        """Ids by way of the whole tokenizer."""
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None], at_once: int = 256) -> Iterator[bytes]:
         end = struct.pack("<I", END_ID)
         for k in range(0, len(texts), at_once):
             split = [(t or "").replace("\n", " ").split(" ") for t in texts[k : k + at_once]]
             if len(self.ids) > CACHED_PIECES:
-                self.ids, self.old_ids, self.parts, self.old_parts = {}, self.ids, {"": b""}, self.parts
+                self.ids, self.old_ids, self.parts, self.old_parts = {}, self.ids, {}, self.parts
+                self.tails = {}
             if unknown := set().union(*split).difference(self.ids):
                 self.learn(unknown)
             for pieces in split:
