@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_ops import edit, prose
 
@@ -24,6 +26,30 @@ def test_near_dedup_drops_rows_not_ids(spark):
     assert {(r.doc_id, r.text) for r in left} == {(7, rows[0][1]), (3, rows[2][1])}
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, an empty table, clashing columns."""
+    text = " ".join(prose(9, 50))
+    rows = [(1, text, "s"), (1, text, "s"), (2, text + " more", None), (None, None, None), (None, text, "s"), (3, "", "s"), (4, "", "s"), (5, "!!", "s"), (6, "w " * 30_000, "s"), (7, None, "t")]
+    clash = ["_gone_id", "row", "n", "_src", "_of", "node", "bucket", "copies", "tokens", "hash"]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, lang string").withColumns({c: F.lit(c) for c in clash})
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (5, None, None), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(prose(77, 9))), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert all(r[c] == c for r in got for c in clash)
+        if name != "shards":
+            assert out.columns == docs.columns
+        kept = Counter((r.doc_id, r.text) for r in got)
+        if name in ("quality", "decontamination", "shards"):
+            assert kept == Counter(r[:2] for r in rows)
+        elif name == "mixture":
+            assert set(kept) == {r[:2] for r in rows}
+        else:
+            assert kept == Counter({(1, text): 2, (3, ""): 1, (5, "!!"): 1, (6, "w " * 30_000): 1})
+
+
 def test_run_against_plain_python(spark, tmp_path):
     rng, rows, labels, item = random.Random(4), [], [], " ".join(prose(4242, 30))
     for i in range(240):
