@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import GENERIC_WORDS, NEGATIONS, OPTIONAL_MARKS, REQUIREMENT_ENDS, REQUIREMENT_HEADS, STOPWORDS, SYNONYMS, TOKEN_EDGES, variants
+from .words import FILLER, GENERIC_WORDS, NEGATED_WORD, NEGATIONS, OPTIONAL_MARKS, REASON_WORD, REQUIREMENT_ENDS, REQUIREMENT_HEADS, SEPARATORS, STOPWORDS, SYNONYMS, TOKEN_EDGES, variants
 
 
 def strings(values) -> Column:
@@ -16,6 +17,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, where use names it in lambdas that would work it out for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Blank-separated words of a text."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -23,19 +29,19 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column, stopwords=STOPWORDS, synonyms: dict[str, list[str]] | None = SYNONYMS) -> Column:
     """Lower-cased words, hyphens parted, each followed by its synonyms' words, without stop words; marks stay attached."""
-    found = words(F.translate(F.lower(F.coalesce(text, F.lit(""))), "-", " "))
-    if synonyms:
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "-", " ")
+    for key in (k for k in synonyms or {} if " " in k):
         # the only two-word keys are joined to one word first, left to right, as pairs that do not overlap
-        pairs = [k for k in synonyms if " " in k]
-        for k in pairs:
-            a, b = k.split(" ")
-            joined = F.regexp_replace(F.array_join(found, " "), rf"(?<=^|\s){re.escape(a)} {re.escape(b)}(?=\s|$)", f"{a}\0{b}")
-            found = F.when(F.array_contains(found, a) & F.array_contains(found, b), words(joined)).otherwise(found)
+        first, second = key.split(" ")
+        joined = F.regexp_replace(low, rf"(?U)(?<=^|\s){re.escape(first)}\s+{re.escape(second)}(?=\s|$)", f"{first}\0{second}")
+        low = F.when(F.contains(low, F.lit(first)) & F.contains(low, F.lit(second)), joined).otherwise(low)
+    found = words(low)
+    if synonyms:
         table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k.replace(" ", "\0")), F.array(*[F.lit(w) for s in v for w in s.split()]))])
-        expand = lambda w: F.concat(F.array(F.translate(w, "\0", " ")), F.coalesce(table[w], F.expr("cast(array() as array<string>)")))
+        known = [k.replace(" ", "\0") for k in synonyms]
+        expand = lambda w: F.when(w.isin(known), F.concat(F.array(F.translate(w, "\0", " ")), table[w])).otherwise(F.array(w))
         found = F.flatten(F.transform(found, expand))
-    stop = strings(stopwords)
-    return F.filter(found, lambda w: ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: ~w.isin(*sorted(stopwords))) if stopwords else found
 
 
 def normalise(text: Column) -> Column:
@@ -53,15 +59,17 @@ def contains_term(text: Column, term: str) -> Column:
 
 
 def term_pattern(term: str) -> tuple[str, bool]:
-    """The Java pattern that counts a term, and whether it reads the raw (lower-cased) text."""
+    """The Java pattern that counts a term, and whether it reads the raw (lower-cased) text.
+
+    A term with separators stands in the raw text; an end of it that is a mark
+    needs no border, so "c++" counts in "c++17". Other terms stand in the
+    normalised text between borders of words, any white space between their words.
+    """
     low = term.lower()
-    if any(c in low for c in "+#.-/"):
-        left = r"(?<!\w)" if low[0].isalnum() else ""
-        right = r"(?!\w)" if low[-1].isalnum() else ""
-        return f"(?U){left}\\Q{low}\\E{right}", True
-    if " " in low:
-        return r"(?U)(?<!\w)" + r"\s+".join(f"\\Q{p}\\E" for p in low.split(" ")) + r"(?!\w)", False
-    return rf"(?U)\b\Q{low}\E\b", False
+    raw = not set(SEPARATORS).isdisjoint(low)
+    body = f"\\Q{low}\\E" if raw else r"\s+".join(f"\\Q{part}\\E" for part in low.split(" "))
+    borders = [not raw or end.isalnum() for end in (low[:1], low[-1:])]
+    return "(?U)" + r"(?<!\w)" * borders[0] + body + r"(?!\w)" * borders[1], raw
 
 
 def count_term(text: Column, term: str) -> Column:
@@ -95,21 +103,39 @@ def dictionary_terms(text: Column, dictionary) -> Column:
     return F.array_sort(F.array_distinct(F.concat(folded, hits)))
 
 
-def open_terms(text: Column, corpus: Column, known) -> Column:
-    """One- and two-word terms outside the dictionary that the corpus holds word for word; pairs consume their words."""
-    skip = strings({*known, *GENERIC_WORDS, *STOPWORDS})
+def pairs_of(items: Column) -> Column:
+    """Neighbours as two words joined by a blank."""
+    return F.array_compact(F.zip_with(items, F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
+
+
+def usable(skip) -> Callable[[Column], Column]:
+    """Whether a word has three letters and is none of those to skip."""
+    return lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(skip))
+
+
+def open_candidates(text: Column) -> Column:
+    """Words and pairs of neighbours that open_terms can find, whatever a corpus holds."""
+    fit = usable({*GENERIC_WORDS, *STOPWORDS})
     found = F.transform(words(normalise(text)), edge_trimmed)
-    usable = lambda w: (F.length(w) >= 3) & ~F.array_contains(skip, w)
-    held_in = lambda t: F.regexp_like(F.lower(corpus), F.concat(F.lit(r"(^|[^a-z0-9])\Q"), t, F.lit(r"\E([^a-z0-9]|$)")))
-    start = F.struct(F.lit("").alias("held"), F.expr("cast(array() as array<string>)").alias("out"))
+    both = F.filter(pairs_of(found), lambda p: fit(F.substring_index(p, " ", 1)) & fit(F.substring_index(p, " ", -1)))
+    return F.array_distinct(F.concat(F.filter(found, fit), both))
 
-    def step(acc: Column, w: Column) -> Column:
-        pair = F.concat_ws(" ", acc["held"], w)
-        is_pair = usable(acc["held"]) & usable(w) & held_in(pair)
-        single = F.when(usable(acc["held"]) & held_in(acc["held"]), F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"])
-        return F.when(is_pair, F.struct(F.lit("").alias("held"), F.concat(acc["out"], F.array(pair)).alias("out"))).otherwise(F.struct(w.alias("held"), single.alias("out")))
 
-    return F.array_sort(F.array_distinct(F.aggregate(F.concat(found, F.array(F.lit(""))), start, step, lambda acc: acc["out"])))
+def open_terms(text: Column, held: Column, known) -> Column:
+    """One- and two-word terms outside the dictionary that a corpus holds word for word (held: those of open_candidates that it does); pairs consume their words."""
+    fit = usable({*known, *GENERIC_WORDS, *STOPWORDS})
+    start = F.struct(F.lit("").alias("last"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def found(h: Column) -> Column:
+        def step(acc: Column, w: Column) -> Column:
+            pair = F.concat_ws(" ", acc["last"], w)
+            is_pair = fit(acc["last"]) & fit(w) & F.array_contains(h, pair)
+            single = F.when(fit(acc["last"]) & F.array_contains(h, acc["last"]), F.concat(acc["out"], F.array(acc["last"]))).otherwise(acc["out"])
+            return F.when(is_pair, F.struct(F.lit("").alias("last"), F.concat(acc["out"], F.array(pair)).alias("out"))).otherwise(F.struct(w.alias("last"), single.alias("out")))
+
+        return F.array_sort(F.array_distinct(F.aggregate(F.concat(F.transform(words(normalise(text)), edge_trimmed), F.array(F.lit(""))), start, step, lambda acc: acc["out"])))
+
+    return once(F.coalesce(held, F.expr("cast(array() as array<string>)")), found)
 
 
 def custom_terms(terms: list[str] | str | None) -> list[str]:
@@ -130,9 +156,14 @@ def requirements(text: Column) -> Column:
 
 def chunks(text: Column, size: int = 200, overlap: int = 50) -> Column:
     """Windows of `size` words, `overlap` shared; a text within one window stays as it is."""
-    found, stride = words(text), size - overlap
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(stride)), lambda i: (i == 0) | (i - stride + size < F.size(found)))
-    return F.when(F.size(found) <= size, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(found, i + 1, F.lit(size)), " ")))
+    stride = size - overlap
+
+    def windows(found: Column) -> Column:
+        # a window starts at each stride up to the one that reaches the last word
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - overlap - 1, F.lit(0)), F.lit(stride))
+        return F.when(F.size(found) <= size, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(found, i + 1, F.lit(size)), " ")))
+
+    return once(words(text), windows)
 
 
 def sentences(text: Column) -> Column:
@@ -143,19 +174,28 @@ def negated(sentence: Column, patterns=NEGATIONS) -> Column:
     return sentence.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
 
-def negated_terms(text: Column, corpus: Column, dictionary=(), patterns=NEGATIONS) -> Column:
-    """Terms that a text excludes: dictionary terms, and one- and two-word terms that the corpus holds, of its negated sentences, unless another sentence names them."""
+def negated_candidates(text: Column, patterns=NEGATIONS) -> Column:
+    """Words and pairs of the negated sentences that negated_terms can find, whatever a corpus holds."""
+    fragment = F.array_join(F.filter(sentences(text), lambda s: negated(s, patterns)), " ")
+    pieces = F.transform(F.regexp_extract_all(fragment, F.lit(NEGATED_WORD), F.lit(1)), lambda w: F.lower(w))
+    single = F.filter(pieces, usable({*STOPWORDS, *GENERIC_WORDS}))
+    return F.array_distinct(F.concat(single, pairs_of(single)))
+
+
+def stands_in(text: Column, term: Column) -> Column:
+    """Whether a term stands in a lower-cased text between characters other than a-z and 0-9."""
+    return F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), term, F.lit(r"\E([^a-z0-9]|$)")))
+
+
+def negated_terms(text: Column, held: Column, dictionary=(), patterns=NEGATIONS) -> Column:
+    """Terms that a text excludes: dictionary terms, and those of negated_candidates that a corpus holds, unless another sentence names them."""
     said = sentences(text)
     fragment = F.array_join(F.filter(said, lambda s: negated(s, patterns)), " ")
     positive = F.lower(F.array_join(F.filter(said, lambda s: ~negated(s, patterns)), " "))
-    skip = strings({*STOPWORDS, *GENERIC_WORDS})
-    pieces = F.transform(F.regexp_extract_all(fragment, F.lit(r"(?U)([a-zA-ZáéíóúñüÁÉÍÓÚÑÜ][\w+#.\-]*)"), F.lit(1)), lambda w: F.lower(w))
-    single = F.filter(pieces, lambda w: ~F.array_contains(skip, w) & (F.length(w) >= 3))
-    pairs = F.zip_with(single, F.slice(single, F.lit(2), F.greatest(F.size(single) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    held_in = lambda where, t: F.regexp_like(where, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), t, F.lit(r"\E([^a-z0-9]|$)")))
-    opened = F.filter(F.concat(single, F.array_compact(pairs)), lambda t: held_in(F.lower(corpus), t))
-    listed = dictionary_terms(fragment, dictionary) if dictionary else F.expr("cast(array() as array<string>)")
-    return F.array_sort(F.filter(F.array_distinct(F.concat(listed, opened)), lambda t: ~held_in(positive, t)))
+    none = F.expr("cast(array() as array<string>)")
+    opened = F.array_intersect(negated_candidates(text, patterns), F.coalesce(held, none))
+    listed = dictionary_terms(fragment, dictionary) if dictionary else none
+    return F.array_sort(F.filter(F.array_distinct(F.concat(listed, opened)), lambda t: ~stands_in(positive, t)))
 
 
 def text_lines(text: Column, width: int = 90) -> Column:
@@ -174,3 +214,9 @@ def month_key(date: Column) -> Column:
     month = F.regexp_extract(low, r"^(\d{4})-(\d{1,2})$", 2).try_cast("int")
     year = F.regexp_extract(low, r"^(\d{4})(?:-\d{1,2})?$", 1).try_cast("int")
     return F.when(low.isin("", "present"), F.lit(10**6)).when(month.between(1, 12), year * 12 + month).when(low.rlike(r"^\d{4}$"), year * 12 + 1).otherwise(F.lit(-(10**6)))
+
+
+def reason_words(text: Column) -> Column:
+    """Distinct words of three letters or more that can explain a match."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(REASON_WORD), F.lit(0)))
+    return F.filter(found, lambda w: ~w.isin(*sorted(STOPWORDS | FILLER)))

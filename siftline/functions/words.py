@@ -67,24 +67,34 @@ SYNONYMS = {
 
 # Phrases that exclude what their sentence names.
 NEGATIONS = (
-    r"no\s+se\s+requieren?",
-    r"no\s+se\s+necesitan?",
+    r"no\s+se\s+requiere",
+    r"no\s+se\s+requieren",
+    r"no\s+se\s+necesita",
+    r"no\s+se\s+necesitan",
     r"no\s+es\s+necesario",
     r"no\s+es\s+requisito",
     r"no\s+es\s+excluyente",
-    r"no\s+buscamos",
-    r"no\s+estamos\s+buscando",
-    r"no\s+se\s+valoran?",
+    r"no\s+buscamos|no\s+estamos\s+buscando",
+    r"no\s+se\s+valora|no\s+se\s+valoran",
     r"excluyente\s*:\s*no",
-    r"not\s+required",
-    r"not\s+a\s+requirement",
-    r"not\s+necessary",
-    r"not\s+needed",
-    r"no\s+experience",
+    r"not\s+required|is\s+not\s+required|not\s+a\s+requirement",
+    r"not\s+necessary|not\s+needed",
+    r"no\s+experience(?:\s+in|\s+with|\s+of)?",
     r"not\s+looking\s+for",
-    r"no\s+need\s+",
+    r"no\s+need\s+(?:for|to)?",
 )
 
+# A word of a negated sentence, the marks that make a term a pattern on raw text, and letters of a reason's words.
+NEGATED_WORD = r"(?U)([a-zA-ZáéíóúñüÁÉÍÓÚÑÜ][\w+#.\-]*)"
+SEPARATORS = "+#.-/"
+REASON_WORD = r"(?U)\b[a-záéíóúñü]{3,}\b"
+
+# Words of offers that explain no match.
+FILLER = frozenset("""
+use using used work working worked experience experienced years year least plus good strong excellent solid deep
+proven track record ability able looking seeking join team company role position job
+""".split())
+
 # Headings that open a requirements section, lines that end it, and marks that cut a text without one.
 REQUIREMENT_HEADS = ("Requisitos", "Requirements", "Qualifications", "What you need", "Must have", "Responsabilidades", "Responsibilities", "Perfil buscado", "Lo que buscamos", "Buscamos")
 REQUIREMENT_ENDS = (

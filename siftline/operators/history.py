@@ -59,6 +59,35 @@ def missing_keywords(runs: DataFrame) -> DataFrame:
     )
 
 
+def ordered_missing(report: DataFrame) -> DataFrame:
+    """place: more runs first, then the greater frequency, then by keyword. The report has a row a keyword, not a run."""
+    return report.withColumn("place", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("total_frequency").desc(), "keyword")) - 1)
+
+
+def ordered_variants(stats: DataFrame) -> DataFrame:
+    """place: more runs first, then more successful ones, then by text."""
+    return stats.withColumn("place", F.row_number().over(Window.orderBy(F.col("runs").desc(), F.col("successful_runs").desc(), "text")) - 1)
+
+
+def page_with_total(runs: DataFrame, order: list[Column], limit: int = 25, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(total), one row, of all runs, and the page."""
+    return runs.agg(F.count("*").alias("total")), page(runs, order, limit, offset)
+
+
+def run_of(runs: DataFrame, run_id: str) -> DataFrame:
+    return runs.where(F.col("run_id").eqNullSafe(F.lit(run_id)))
+
+
+def listing(runs: DataFrame) -> DataFrame:
+    """Runs as lists show them: without the offer's text."""
+    return runs.drop("job_description")
+
+
+def applied_usage(runs: DataFrame, variants: DataFrame, key: str = "variant_id", count: str = "used_count", flag: str = "variant_usage_applied") -> tuple[DataFrame, DataFrame]:
+    """variants with the usage of runs not applied yet, and runs with all flags set, so a second call changes nothing."""
+    return apply_usage(variants, pending_usage(runs, flag), key, count), runs.withColumn(flag, F.lit(True))
+
+
 def variant_stats(runs: DataFrame) -> DataFrame:
     """Per (ach_id, variant_id): runs, successful ones, last use, first angle and text; a run counts once, one without id each time."""
     each = runs.select("run_id", "pos", "created_at", F.coalesce(F.col("status").isin(*SUCCESS), F.lit(False)).alias("success"), F.posexplode("bullet_variants").alias("at", "v"))
@@ -109,4 +138,4 @@ def updated(runs: DataFrame, run_id: str, fields: dict[str, str]) -> DataFrame:
 
 
 def without(runs: DataFrame, run_id: str) -> DataFrame:
-    return runs.where(~F.col("run_id").eqNullSafe(run_id))
+    return runs.where(~F.col("run_id").eqNullSafe(F.lit(run_id)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .retrieval import dot
 
 SHORTEST, LONGEST, THRESHOLD, TIE = 8, 300, 0.78, 1e-9
@@ -43,20 +44,15 @@ def mutual_edges(sims: DataFrame, block: str, threshold: float = THRESHOLD) -> D
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster): the least id reachable over edges (a, b); labels spread until nothing changes, each round also to the label of the label, so that chains take few rounds; lineage cut by checkpoints."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = nodes.select("id", F.col("id").alias("cluster"))
-    if nodes.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
-        import tempfile
-
-        nodes.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftline-"))
-    both = both.checkpoint()
-    moved = 1
-    while moved:
+    moves = 1
+    while moves:
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("heard"))
-        new = labels.join(heard, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("heard", "cluster")).alias("cluster"), (F.coalesce("heard", "cluster") < F.col("cluster")).alias("moved")).checkpoint()
-        moved = new.where("moved").limit(1).count()
+        new = cut(labels.join(heard, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("heard", "cluster")).alias("cluster"), (F.coalesce("heard", "cluster") < F.col("cluster")).alias("moved")))
+        moves = new.where("moved").limit(1).count()
         further = new.select(F.col("id").alias("_of"), F.col("cluster").alias("_further"))
-        labels = new.join(further, F.col("cluster") == F.col("_of")).select("id", F.col("_further").alias("cluster")).checkpoint() if moved else new.select("id", "cluster")
+        labels = cut(new.join(further, F.col("cluster") == F.col("_of")).select("id", F.col("_further").alias("cluster"))) if moves else new.select("id", "cluster")
     return labels
 
 
@@ -80,11 +76,49 @@ def progress(resolutions: DataFrame) -> DataFrame:
     return resolutions.groupBy("session_id").agg(F.count_if(F.col("status") == "done").alias("reviewed"), F.count("*").alias("total"))
 
 
+# States of a cluster under review, and from which of them each can be reached.
+REACHED = {"awaiting": ("pending",), "done": ("pending", "awaiting")}
+
+
+def moved(resolutions: DataFrame, which: Column, status: str) -> DataFrame:
+    """The clusters that `which` names moved on to a state; those that can't reach it stay."""
+    return resolutions.withColumn("status", F.when(which & F.col("status").isin(*REACHED[status]), status).otherwise(F.col("status")))
+
+
 def resolve(resolutions: DataFrame, session_id: str, cluster_id: str, status: str) -> DataFrame:
     """One cluster's state moved on: pending to awaiting or done, awaiting to done."""
-    hit = (F.col("session_id") == session_id) & (F.col("cluster_id") == cluster_id)
-    legal = {"awaiting": ("pending",), "done": ("pending", "awaiting")}[status]
-    return resolutions.withColumn("status", F.when(hit & F.col("status").isin(*legal), status).otherwise(F.col("status")))
+    return moved(resolutions, (F.col("session_id") == session_id) & (F.col("cluster_id") == cluster_id), status)
+
+
+def session(labelled: DataFrame, session_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An import under review, of clustered bullets (id, cluster, text, file): bullets, clusters (cluster_id, bullet_ids, file) of two or more, and their resolutions; bullets alone are orphans."""
+    bullets = labelled.select(F.lit(session_id).alias("session_id"), "id", "text", "file")
+    groups = labelled.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("bullet_ids"), F.min_by("file", "id").alias("file"))
+    groups = groups.select(F.lit(session_id).alias("session_id"), F.concat(F.lit("cl_"), F.col("cluster").cast("string")).alias("cluster_id"), "bullet_ids", "file")
+    none = F.expr("cast(array() as array<struct<id:string,variants:array<struct<id:string,text:string,status:string,source:string,used_count:int>>>>)")
+    states = groups.where(F.size("bullet_ids") > 1).select("session_id", "cluster_id", F.lit("pending").alias("status"), none.alias("candidates"))
+    return bullets, groups, states
+
+
+def orphans(groups: DataFrame) -> DataFrame:
+    """(session_id, id) of the bullets that no other resembles."""
+    return groups.where(F.size("bullet_ids") == 1).select("session_id", F.get("bullet_ids", F.lit(0)).alias("id"))
+
+
+def reviewed(groups: DataFrame, bullets: DataFrame, states: DataFrame, cluster_id: str, action: str) -> DataFrame:
+    """States after one decision: merge gives one candidate of all texts and split one a text, both awaiting; discard ends the review."""
+    if action == "discard":
+        return moved(states, F.col("cluster_id") == cluster_id, "done")
+    if action not in ("merge", "split"):
+        raise ValueError(f"no such action: {action}")
+    mine = groups.where(F.col("cluster_id") == cluster_id).select("session_id", "cluster_id", F.posexplode("bullet_ids").alias("pos", "id")).join(bullets.select("session_id", "id", "text"), ["session_id", "id"])
+    texts = mine.groupBy("session_id", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]).alias("texts"))
+    key = F.concat_ws(":", "session_id", "cluster_id")
+    made = F.array(candidate(F.col("texts"), key)) if action == "merge" else F.transform("texts", lambda t, i: candidate(F.array(t), F.concat_ws(":", key, i.cast("string"))))
+    new = texts.select(F.col("session_id").alias("_s"), F.col("cluster_id").alias("_c"), made.alias("_made"))
+    joined = states.join(new, (F.col("session_id") == F.col("_s")) & (F.col("cluster_id") == F.col("_c")), "left")
+    opened = F.col("_made").isNotNull() & (F.col("status") == "pending")
+    return joined.withColumns({"candidates": F.when(opened, F.col("_made")).otherwise(F.col("candidates")), "status": F.when(opened, "awaiting").otherwise(F.col("status"))}).drop("_s", "_c", "_made")
 
 
 def common_tokens(members: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -47,7 +47,7 @@ def usage(shown: DataFrame, variant: str = "variant_id") -> DataFrame:
 
 def reordered_details(details: Column, keywords: Column) -> Column:
     """Comma-separated items, those that hold a keyword first; both parts keep their order."""
-    items = F.filter(F.transform(F.split(details, ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(details, ","), lambda x: F.trim(x)), lambda x: x != "")
     hit = lambda x: F.exists(keywords, lambda k: F.contains(F.lower(x), F.lower(k)))
     return F.array_join(F.concat(F.filter(items, hit), F.filter(items, lambda x: ~hit(x))), ", ")
 

@@ -17,8 +17,8 @@ def coverage(keywords: DataFrame, master: DataFrame, target: DataFrame) -> DataF
 
 
 def summary(marked: DataFrame) -> DataFrame:
-    """Per query: weighted share of keywords shown (100 where there are none), and the sorted lists of what lacks."""
-    listed = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("keyword"))))
+    """Per query: weighted share of keywords shown (100 where there are none), and the lists of what lacks, in the keywords' order: most frequent first, then by name."""
+    listed = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct((-F.col("freq")).alias("order"), "keyword")))), lambda k: k["keyword"])
     total, shown = F.sum("freq"), F.sum(F.when(F.col("in_target"), F.col("freq")).otherwise(0))
     return marked.groupBy("query_id").agg(
         F.coalesce(F.bround(shown / F.nullif(total, F.lit(0)) * 100).cast("int"), F.lit(100)).alias("score"),

@@ -8,14 +8,16 @@ order of additions never decides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import count_term
-from siftline.functions.words import variants
+from siftline.functions.stems import stem_table
+from siftline.functions.text import count_term, normalise, stands_in
+from siftline.functions.words import SEPARATORS, SYNONYMS, variants
 
 #: Rows up to which the query side of a join is broadcast.
 QUERY_ROWS = 200_000
@@ -36,36 +38,56 @@ def ranked(scores: DataFrame, top_k: int | None, keys: tuple[str, ...] = ("query
     return out.withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
-def bm25_terms(corpus: DataFrame, terms: str = "tokens", section: str = "section", epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
+def stemmed(counts: DataFrame, count: str) -> DataFrame:
+    """Counts by term as counts by stem; each distinct word is stemmed once."""
+    keys = [c for c in counts.columns if c not in ("term", count)]
+    return counts.join(stem_table(counts), "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum(count).alias(count))
+
+
+def term_table(corpus: DataFrame, terms: str = "tokens", stem: bool = False) -> DataFrame:
+    """(section, doc_id, term, tf): one row a document and term; df, avgdl and scores all read this one aggregate."""
+    out = corpus.select("section", "doc_id", F.explode(terms).alias("term")).groupBy("section", "doc_id", "term").agg(F.count("*").alias("tf"))
+    return stemmed(out, "tf") if stem else out
+
+
+def bm25_terms(corpus: DataFrame, terms: str = "tokens", epsilon: float = EPSILON, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Per section: (section, term, df, idf) with negative idf floored, and (section, n, avgdl)."""
-    stats = corpus.groupBy(section).agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avgdl"))
-    df = corpus.select(section, F.explode(F.array_distinct(terms)).alias("term")).groupBy(section, "term").agg(F.count("*").alias("df"))
-    raw = df.join(stats, section).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.groupBy(section).agg((F.avg("raw") * epsilon).alias("floor"))
-    idf = raw.join(floor, section).select(section, "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    table = term_table(corpus, terms) if table is None else table
+    # the number of documents needs no text; their lengths add up to the sum of all tf
+    count, total = corpus.groupBy("section").agg(F.count("*").alias("n")), table.groupBy("section").agg(F.sum("tf").alias("total"))
+    stats = count.join(total, "section", "left").select("section", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
+    df = table.groupBy("section", "term").agg(F.count("*").alias("df"))
+    raw = df.join(stats, "section").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = raw.groupBy("section").agg((F.avg("raw") * epsilon).alias("floor"))
+    idf = raw.join(floor, "section").select("section", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return idf, stats
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, terms: str = "tokens", k1: float = K1, b: float = B, include_zero: bool = False) -> DataFrame:
+def bm25_scores(corpus: DataFrame, queries: DataFrame, terms: str = "tokens", k1: float = K1, b: float = B, pad: int | None = None, stem: bool = False) -> DataFrame:
     """(query_id, section, doc_id, score) of documents that share a term with a query; query terms count as often as they stand there.
 
-    The corpus is exploded for document frequencies once and, for term
-    frequencies, only where a query has the term.
+    The corpus is tokenised once: frequencies, lengths and document frequencies
+    come from one table of (section, document, term), whose shuffle they share.
+    pad: of documents that score 0, the first `pad` of each section by doc_id are
+    added, as many as a ranking of that depth can show.
     """
     asked = queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = stemmed(asked, "times") if stem else asked
     n = asked.limit(QUERY_ROWS + 1).count()  # one look at the queries decides for both of their joins
     hint = F.broadcast if n <= QUERY_ROWS else lambda df: df
-    asked_terms = hint(asked.select("term").distinct())
-    idf, stats = bm25_terms(corpus, terms)
-    wanted = idf.join(asked_terms, "term", "left_semi")
-    tf = corpus.select("section", "doc_id", F.size(terms).alias("dl"), F.explode(terms).alias("term")).join(asked_terms, "term", "left_semi").groupBy("section", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(wanted, ["section", "term"]).join(stats, "section")
+    table = term_table(corpus, terms, stem)
+    idf, stats = bm25_terms(corpus, terms, table=table)
+    lengths = table.groupBy("section", "doc_id").agg(F.sum("tf").alias("dl"))
+    # inner joins: a semi join would move under the aggregate and make a second table
+    tf = table.join(hint(asked.select("term").distinct()), "term").join(lengths, ["section", "doc_id"])
+    weighed = tf.join(idf, ["section", "term"]).join(stats, "section")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighed = weighed.select("section", "doc_id", "term", part.alias("part"))
     scores = weighed.join(hint(asked), "term").groupBy("query_id", "section", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
-    if include_zero:  # every query against every document: for small corpora
-        every = corpus.select("section", "doc_id").crossJoin(small(queries.select("query_id")))
-        scores = every.join(scores, ["query_id", "section", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if pad:
+        first = corpus.select("section", "doc_id", F.row_number().over(Window.partitionBy("section").orderBy("doc_id")).alias("_place")).where(F.col("_place") <= pad).drop("_place")
+        none = queries.select("query_id").distinct().join(small(first), F.lit(True)).join(scores, ["query_id", "section", "doc_id"], "left_anti")
+        scores = scores.unionByName(none.select("query_id", "section", "doc_id", F.lit(0.0).alias("score")))
     return scores
 
 
@@ -96,26 +118,67 @@ def normalised(vector: Column) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(vector)
 
 
-def keyword_channel(corpus: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
-    """Sum of the frequencies of the query's keywords that a document holds; keywords (query_id, keyword, freq).
+def word_runs(text: Column) -> Column:
+    """Distinct runs of word characters."""
+    return F.array_distinct(F.filter(F.split(text, r"(?U)\W+"), lambda w: w != ""))
 
-    Single tokens of a-z and 0-9 meet the documents by hash join; other
-    keywords, two words or with separators, by pattern.
+
+def held_terms(terms: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
+    """Of (query_id, term) those terms that a text of the corpus holds between characters other than a-z and 0-9: (query_id, held array).
+
+    A text is asked only for terms whose first run of a-z and 0-9 it holds whole, by hash join.
     """
-    plain = keywords.where(F.col("keyword").rlike("^[a-z0-9]+$"))
-    rest = keywords.where(~F.col("keyword").rlike("^[a-z0-9]+$"))
-    pieces = corpus.select("section", "doc_id", F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("keyword")).where("keyword <> ''")
-    by_token = pieces.join(small(plain), "keyword").select("query_id", "section", "doc_id", "keyword", "freq")
-    pattern = F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.col("keyword"), F.lit(r"\E([^a-z0-9]|$)"))
-    by_pattern = corpus.select("section", "doc_id", F.lower(text).alias("_t")).join(small(rest), F.regexp_like("_t", pattern)).select("query_id", "section", "doc_id", "keyword", "freq")
-    held = by_token.unionByName(by_pattern).dropDuplicates(["query_id", "section", "doc_id", "keyword"])
-    return held.groupBy("query_id", "section", "doc_id").agg(F.sum("freq").cast("double").alias("score"))
+    runs = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    asked = terms.select("term").distinct().withColumn("run", F.get(runs(F.col("term")), F.lit(0))).where("run is not null")
+    met = corpus.select(F.lower(text).alias("_t"), F.explode(F.array_distinct(runs(F.col(text)))).alias("run")).join(small(asked), "run")
+    held = met.where(stands_in(F.col("_t"), F.col("term"))).select("term").distinct()
+    return terms.join(held, "term", "left_semi").groupBy("query_id").agg(F.collect_set("term").alias("held"))
+
+
+def variants_of(keyword: Column) -> Column:
+    """A keyword's variants, itself among them."""
+    terms = dict.fromkeys(t for k, v in SYNONYMS.items() for t in (k, *v))
+    table = F.create_map(*[x for t in terms for x in (F.lit(t), F.array(*[F.lit(v) for v in variants(t)]))])
+    low = F.lower(F.trim(keyword))
+    return F.when(low.isin(*terms), table[low]).otherwise(F.array(low))
+
+
+def with_variants(keywords: DataFrame) -> DataFrame:
+    """keywords (query_id, keyword, freq) with a row for each variant: variant, its pattern, whether that reads the raw text, and run, a run of word characters that any match holds whole."""
+    each = keywords.where(F.trim("keyword") != "").withColumn("variant", F.explode(variants_of(F.col("keyword"))))
+    raw = F.col("variant").rlike(f"[{re.escape(SEPARATORS)}]")
+    quoted = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    alnum = lambda c: c.rlike(r"(?U)[\p{L}\p{N}]")
+    body = F.when(raw, quoted(F.col("variant"))).otherwise(F.array_join(F.transform(F.split("variant", " "), quoted), r"\s+"))
+    left = F.when(~raw | alnum(F.left("variant", F.lit(1))), r"(?<!\w)").otherwise("")
+    right = F.when(~raw | alnum(F.right("variant", F.lit(1))), r"(?!\w)").otherwise("")
+    # borders and separators part the runs inside a term, so each stands whole in a text that matches; the longest is the rarest
+    run = F.array_max(F.transform(word_runs(F.col("variant")), lambda w: F.struct(F.length(w).alias("size"), w.alias("run"))))["run"]
+    return each.select("query_id", "keyword", "freq", "variant", raw.alias("raw"), F.concat(F.lit("(?U)"), left, body, right).alias("pattern"), run.alias("run"))
 
 
-def with_variants(keywords: DataFrame, terms: list[str]) -> DataFrame:
-    """(keyword, variant) rows of the listed terms, joined to keywords (query_id, keyword, freq)."""
-    rows = [(t, v) for t in terms for v in variants(t)]
-    return keywords.join(F.broadcast(keywords.sparkSession.createDataFrame(rows, "keyword string, variant string")), "keyword", "left").withColumn("variant", F.coalesce("variant", "keyword"))
+def keyword_channel(corpus: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
+    """Sum of the frequencies of the query's keywords that a document holds, by any variant; keywords (query_id, keyword, freq).
+
+    A document is asked only for the keywords one of whose words it holds whole,
+    by hash join; one-word keywords need no more, others are then searched by
+    their pattern, for each distinct one only once a document.
+    """
+    asked = with_variants(keywords)
+    held = corpus.select("section", "doc_id", F.explode(F.array_union(word_runs(normalise(F.col(text))), word_runs(F.lower(text)))).alias("run"))
+    # a variant that is one run and nothing else holds where the run does
+    plain = held.join(small(asked.where("variant = run").select("query_id", "keyword", "freq", "run")), "run").select("query_id", "section", "doc_id", "keyword", "freq")
+    patterns = asked.where("variant <> run or run is null").select("variant", "run", "raw", "pattern").distinct()
+    low = F.col(text)
+    may = held.join(small(patterns.where("run is not null")), "run").select("section", "doc_id", "variant", "raw", "pattern")
+    found = may.join(corpus.select("section", "doc_id", low.alias("_t")), ["section", "doc_id"])
+    found = found.where(F.regexp_like(F.when(F.col("raw"), F.lower("_t")).otherwise(normalise(F.col("_t"))), F.col("pattern"))).select("section", "doc_id", "variant")
+    marks = patterns.where("run is null")
+    if not marks.isEmpty():  # terms of marks alone have no word to meet by
+        found = found.unionByName(corpus.select("section", "doc_id", F.lower(low).alias("_t")).join(small(marks), F.regexp_like("_t", F.col("pattern"))).select("section", "doc_id", "variant"))
+    by_pattern = found.join(small(asked.where("variant <> run or run is null").select("query_id", "keyword", "freq", "variant")), "variant").select("query_id", "section", "doc_id", "keyword", "freq")
+    each = plain.unionByName(by_pattern).groupBy("query_id", "section", "doc_id", "keyword").agg(F.max("freq").alias("freq"))
+    return each.groupBy("query_id", "section", "doc_id").agg(F.sum("freq").cast("double").alias("score"))
 
 
 def rrf(channels: list[tuple[DataFrame, float]], k: int = 15) -> DataFrame:
@@ -155,7 +218,7 @@ def penalise(scored: DataFrame, negated: Column, factor: float = 0.3) -> DataFra
 
 
 def term_frequencies(queries: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """(query_id, keyword, freq) of the listed terms that a query's text holds, most frequent first in each query."""
+    """(query_id, keyword, freq) of the listed terms that a query's text holds; `ranked_keywords` orders them."""
     if not terms:
         return queries.select("query_id", F.lit("").alias("keyword"), F.lit(0).alias("freq")).where("false")
     counted = F.array(*[F.struct(F.lit(t).alias("keyword"), count_term(F.col(text), t).alias("freq")) for t in terms])
@@ -166,3 +229,6 @@ def snippet(best_chunk: Column) -> Column:
     return F.substring(best_chunk, 1, 200)
 
 
+def ranked_keywords(frequencies: DataFrame) -> DataFrame:
+    """pos: a keyword's place in its query, most frequent first, then by name."""
+    return frequencies.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("freq").desc(), "keyword")) - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.functions.title import title_of
-from siftline.functions.words import STOPWORDS
+from siftline.functions.words import GENERIC_WORDS, STOPWORDS
 from siftline.operators import evaluation, history, importer, merge, report, retrieval, selection
 from siftline.sources.documents import page_text
 
@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain(text: str = "text"):
-    return T.tokens(F.col(text), stopwords=(), synonyms=None)
+def plain(text="text"):
+    return T.tokens(F.col(text) if isinstance(text, str) else text, stopwords=(), synonyms=None)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +46,24 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", plain().alias("tokens"))
 
 
+def offer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of three letters or more of each offer, stop words left out, with their frequency."""
+    each = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), r"(?U)\W+")).alias("keyword"))
+    return each.where((F.length("keyword") >= 3) & ~F.col("keyword").isin(*sorted(STOPWORDS))).groupBy("query_id", "keyword").agg(F.count("*").cast("int").alias("freq"))
+
+
 def offer_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longer tokens of a-z and 0-9 of each offer, with their frequency."""
-    each = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("keyword")).where("length(keyword) >= 6")
-    return each.groupBy("query_id", "keyword").agg(F.count("*").cast("int").alias("freq"))
+    """offer_words, and each offer's first two words as one keyword."""
+    runs = F.filter(F.split(F.lower("text"), r"(?U)\W+"), lambda w: w != "")
+    pairs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(runs, 1, 2), " ").alias("keyword"), F.lit(1).alias("freq"))
+    return offer_words(spark, sf_dir).unionByName(pairs.where("keyword like '% %'"))
 
 
 TOKENS = r"list_filter(string_split_regex(replace(lower(text), '-', ' '), '\s+'), lambda x: x <> '')"
+#: What parts words, and the stop words, in SQL.
+APART1 = r"[^\p{L}\p{N}\p{M}_]"
+APART = APART1 + "+"
+STOPS = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
 BM25 = rf"""
     c AS (SELECT lang AS section, doc_id, source, text, {TOKENS} AS tokens FROM documents),
     q AS (SELECT item_id AS query_id, text, {TOKENS} AS tokens FROM benchmark),
@@ -66,9 +77,13 @@ BM25 = rf"""
     bm25 AS (SELECT query_id, section, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
              FROM tfs JOIN idfs USING (section, term) JOIN stats USING (section) JOIN asked USING (term) GROUP BY 1, 2, 3),
     sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM bm25 QUALIFY rank < 50),
-    kw AS (SELECT query_id, keyword, count(*)::INT AS freq FROM (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS keyword FROM benchmark) WHERE length(keyword) >= 6 GROUP BY 1, 2),
-    pieces AS (SELECT DISTINCT lang AS section, doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS keyword FROM documents),
-    kscore AS (SELECT query_id, section, doc_id, sum(freq)::DOUBLE AS score FROM pieces JOIN kw USING (keyword) GROUP BY 1, 2, 3),
+    kw AS (SELECT query_id, keyword, count(*)::INT AS freq FROM (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '{APART}')) AS keyword FROM benchmark) WHERE length(keyword) >= 3 AND keyword NOT IN ({STOPS}) GROUP BY 1, 2),
+    pairs AS (SELECT query_id, w[1] AS w1, w[2] AS w2 FROM (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '{APART}'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 2),
+    pieces AS (SELECT DISTINCT lang AS section, doc_id, unnest(string_split_regex(lower(text), '{APART}')) AS keyword FROM documents),
+    plain AS (SELECT doc_id, lang AS section, translate(lower(text), '-/+', '   ') AS t FROM documents),
+    kscore AS (SELECT query_id, section, doc_id, sum(freq)::DOUBLE AS score FROM (
+        SELECT query_id, section, doc_id, freq FROM pieces JOIN kw USING (keyword)
+        UNION ALL SELECT query_id, section, doc_id, 1 FROM plain JOIN pairs ON regexp_matches(t, '(^|{APART1})' || w1 || '\s+' || w2 || '({APART1}|$)')) GROUP BY 1, 2, 3),
     kws AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, doc_id) - 1 AS rank FROM kscore QUALIFY rank < 50)
 """
 
@@ -93,7 +108,7 @@ def bm25_idf_floor(spark, sf_dir):
 
 
 @query(rf"""SELECT doc_id, len({TOKENS})::INT AS n_all,
-    len(list_filter({TOKENS}, lambda x: NOT list_contains([{", ".join(repr(w) for w in sorted(STOPWORDS))}], x)))::INT AS n_kept FROM documents""")
+    len(list_filter({TOKENS}, lambda x: NOT list_contains([{STOPS}], x)))::INT AS n_kept FROM documents""")
 def token_stopword_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(plain()).alias("n_all"), F.size(T.tokens(F.col("text"), synonyms=None)).alias("n_kept"))
 
@@ -117,9 +132,9 @@ def term_count(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}\p{M}_]+')) AS keyword FROM benchmark)
-    SELECT query_id, keyword, count(*)::INT AS freq FROM t WHERE keyword IN (""" + ", ".join(f"'{t}'" for t in TERMS) + ") GROUP BY 1, 2")
+    SELECT query_id, keyword, count(*)::INT AS freq, (row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, keyword) - 1)::INT AS pos FROM t WHERE keyword IN (""" + ", ".join(f"'{t}'" for t in TERMS) + ") GROUP BY 1, 2")
 def keyword_frequencies(spark, sf_dir):
-    return retrieval.term_frequencies(offers(spark, sf_dir), TERMS)
+    return retrieval.ranked_keywords(retrieval.term_frequencies(offers(spark, sf_dir), TERMS)).select("query_id", "keyword", "freq", F.col("pos").cast("int").alias("pos"))
 
 
 @query(f"WITH {BM25} SELECT query_id, section, doc_id, rank::INT AS rank, score FROM kws")
@@ -129,9 +144,10 @@ def keyword_channel(spark, sf_dir):
 
 @query()
 def open_keywords(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return items.join(after, "item_id").select("item_id", F.explode(T.open_terms(F.col("text"), F.col("other"), TERMS)).alias("keyword"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    terms = items.select("query_id", F.explode(T.open_candidates(F.col("text"))).alias("term"))
+    held = retrieval.held_terms(terms, table(spark, sf_dir, "documents"))
+    return items.join(held, "query_id").select(F.col("query_id").alias("item_id"), F.explode(T.open_terms(F.col("text"), F.col("held"), TERMS)).alias("keyword"))
 
 
 SIMS = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
@@ -178,21 +194,34 @@ def sigmoid_rerank(spark, sf_dir):
     return retrieval.rerank(pairs, lambda q, t: (t.str.len() - q.str.len()) / 1000.0).select("query_id", "section", "doc_id", "score")
 
 
-SAID = ["Experience with Python. No se requiere Docker! Java", "Docker is not required. We use docker daily.", "Excluyente: no\nKnowledge of Go", "Nothing here"]
-SAID_SQL = ", ".join(f"({i}, " + " || chr(10) || ".join(f"'{part}'" for part in s.split("\n")) + ")" for i, s in enumerate(SAID))
+#: What marks a sentence as excluding, in the invented texts.
+MARKERS = ("worthless", "idiot")
+SENTENCES = r"list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+MARKED = "regexp_matches(s, '(?i)" + "|".join(MARKERS) + "')"
 
 
-@query(f"""WITH v(id, text) AS (VALUES {SAID_SQL}), s AS (SELECT id, trim(unnest(string_split_regex(text, '[.!?\\n]+'))) AS sentence FROM v)
-    SELECT id, sentence, regexp_matches(sentence, '(?i)no\\s+se\\s+requiere|excluyente\\s*:\\s*no|not\\s+required') AS negated FROM s WHERE sentence <> ''""")
+@query(rf"""WITH d AS (SELECT doc_id, {SENTENCES} AS s FROM documents)
+    SELECT doc_id, len(s)::INT AS n_sentences, len(list_filter(s, lambda s: {MARKED}))::INT AS n_negated, md5(array_to_string(s, '|')) AS digest FROM d""")
 def negation_sentences(spark, sf_dir):
-    said = spark.createDataFrame(list(enumerate(SAID)), "id int, text string")
-    return said.select("id", F.explode(T.sentences(F.col("text"))).alias("sentence")).select("id", "sentence", T.negated(F.col("sentence")).alias("negated"))
+    said = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return said.select("doc_id", F.size("s").alias("n_sentences"), F.size(F.filter("s", lambda x: T.negated(x, MARKERS))).alias("n_negated"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query()
+GENERIC = ", ".join(f"'{w}'" for w in sorted(STOPWORDS | GENERIC_WORDS))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {SENTENCES} AS s FROM documents),
+    f AS (SELECT doc_id, array_to_string(list_filter(s, lambda s: {MARKED}), ' ') AS fragment, lower(array_to_string(list_filter(s, lambda s: NOT {MARKED}), ' ')) AS positive FROM d),
+    w AS (SELECT doc_id, positive, list_filter(list_transform(regexp_extract_all(fragment, '([a-zA-ZáéíóúñüÁÉÍÓÚÑÜ][\p{{L}}\p{{N}}\p{{M}}_+#.\-]*)', 1), lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN ({GENERIC})) AS one FROM f WHERE fragment <> ''),
+    c AS (SELECT DISTINCT doc_id, positive, unnest(list_concat(one, list_transform(range(1, greatest(len(one), 1)), lambda i: one[i] || ' ' || one[i + 1]))) AS term FROM w),
+    h AS (SELECT DISTINCT term FROM (SELECT DISTINCT term FROM c) JOIN benchmark ON regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(term) || '([^a-z0-9]|$)'))
+    SELECT doc_id, term FROM c JOIN h USING (term) WHERE NOT regexp_matches(positive, '(^|[^a-z0-9])' || regexp_escape(term) || '([^a-z0-9]|$)')""")
 def negated_terms(spark, sf_dir):
-    said = spark.createDataFrame(list(enumerate(SAID)), "id int, text string")
-    return said.select("id", F.explode(T.negated_terms(F.col("text"), F.lit("docker and java, go"), ["docker", "go"])).alias("term"))
+    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    terms = said.select("query_id", F.explode(T.negated_candidates(F.col("text"), MARKERS)).alias("term"))
+    held = retrieval.held_terms(terms, table(spark, sf_dir, "benchmark"))
+    found = said.join(held, "query_id").select("query_id", F.explode(T.negated_terms(F.col("text"), F.col("held"), (), MARKERS)).alias("term"))
+    return found.select(F.col("query_id").alias("doc_id"), "term")
 
 
 @query("""WITH s AS (SELECT doc_id, round_even(n_chars / 100000.0::DOUBLE, 3) AS score, regexp_matches(lower(text), '(^|[^a-z0-9])worthless([^a-z0-9]|$)') AS neg FROM documents)
@@ -204,8 +233,7 @@ def negation_penalty(spark, sf_dir):
 
 @query()
 def requirements_cut(spark, sf_dir):
-    said = [(0, "Intro\nRequisitos: Python y SQL\nOfrecemos: sueldo"), (1, "We build things. Nice to have: Go"), (2, "Plus: kindness"), (3, "Only text ")]
-    return spark.createDataFrame(said, "id int, text string").select("id", T.requirements(F.col("text")).alias("requirements"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.requirements(F.col("text"))).alias("digest"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
@@ -240,17 +268,24 @@ def mmr_select(spark, sf_dir):
     return selection.select_slots(placed(spark, sf_dir), 2)
 
 
+def terms_column(*terms: str):
+    return F.array(*[F.struct(F.lit(t).alias("keyword"), F.array(F.lit(t)).alias("variants")) for t in terms])
+
+
 @query()
 def local_coverage_swap(spark, sf_dir):
-    return selection.select_slots(placed(spark, sf_dir), 1, critical={"worthless": ["worthless"], "the": ["the"]})
+    return selection.select_slots(placed(spark, sf_dir).withColumn("critical", terms_column("worthless", "the")), 1, critical="critical")
 
 
 @query()
 def global_coverage_swap(spark, sf_dir):
     found = placed(spark, sf_dir)
-    entries = selection.group_entries(found, 2, 4).drop("slots")
-    slots = found.groupBy("query_id", "section", "entry_index").agg(F.collect_list(F.struct("slot_index", "score", "text")).alias("slots"))
-    return selection.swap_coverage(entries.join(slots, ["query_id", "section", "entry_index"]), lambda query: {"worthless": ["worthless"], "that": ["that"]}, 4)
+    keys = ["query_id", "section", "entry_index"]
+    entries = selection.group_entries(found, 2).withColumnRenamed("slots", "shown")
+    slots = found.groupBy(*keys).agg(F.collect_list(F.struct("slot_index", "score", "text", "tokens", F.lit(True).alias("ranked"))).alias("slots"))
+    entries = entries.withColumn("shown", F.when(F.col("included"), F.slice("shown", 1, 4)).otherwise(F.col("shown"))).join(slots, keys)
+    entries = entries.withColumns({"critical": terms_column("worthless", "that"), "negated": F.expr("cast(array() as array<string>)")})
+    return selection.swap_coverage(entries, 4).withColumn("shown", F.array_join(F.col("shown").cast("array<string>"), ","))
 
 
 PLACED = RRF.format(w=0.5) + ", placed AS (SELECT f.query_id, f.section, f.doc_id, c.source AS entry_index, rank, round_even(1.0::DOUBLE / (rank + 1), 3) AS score FROM fused f JOIN c USING (section, doc_id))"
@@ -305,11 +340,17 @@ def merge_dedupe_budget(spark, sf_dir):
     return out.select("source", "place", F.md5("text").alias("digest"), F.col("out_pos").cast("int").alias("out_pos"))
 
 
-@query(f"WITH {BM25}, v AS (SELECT keyword FROM pieces GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT query_id, keyword FROM kw WHERE keyword IN (SELECT keyword FROM v)) SELECT query_id, array_to_string(list(keyword ORDER BY keyword)[1:10], ',') AS keywords FROM k GROUP BY 1")
+@query(f"""WITH {BM25}, v AS (SELECT keyword FROM pieces GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3), said AS (SELECT query_id, list(keyword) AS own FROM kw GROUP BY 1),
+    k AS (SELECT query_id - 1 AS query_id, keyword FROM kw WHERE keyword IN (SELECT keyword FROM v))
+    SELECT k.query_id, array_to_string(list(keyword ORDER BY keyword)[1:10], ',') AS keywords FROM k JOIN said USING (query_id) WHERE list_contains(own, keyword) GROUP BY 1""")
 def verified_keywords(spark, sf_dir):
-    common = corpus(spark, sf_dir).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("keyword")).groupBy("keyword").count().where("count >= 3").select("keyword", F.lit(True).alias("known"))
-    asked = offer_keywords(spark, sf_dir).withColumn("pos", F.col("keyword")).join(common, "keyword", "left")
-    return report.verified_keywords(asked, F.coalesce("known", F.lit(False)), F.lit(True)).select("query_id", F.array_join("keywords", ",").alias("keywords"))
+    """Candidates are the next offer's words; both the documents and the offer itself must hold them."""
+    asked = offer_words(spark, sf_dir)
+    common = corpus(spark, sf_dir).select("doc_id", F.explode(retrieval.word_runs(F.lower("text"))).alias("keyword")).groupBy("keyword").count().where("count >= 3").select("keyword", F.lit(True).alias("known"))
+    own = asked.select("query_id", "keyword", F.lit(True).alias("said"))
+    candidates = asked.select((F.col("query_id") - 1).alias("query_id"), "keyword", F.col("keyword").alias("pos"))
+    both = candidates.join(common, "keyword", "left").join(own, ["query_id", "keyword"], "left")
+    return report.verified_keywords(both, F.coalesce("known", F.lit(False)), F.coalesce("said", F.lit(False))).select("query_id", F.array_join("keywords", ",").alias("keywords"))
 
 
 COVERED = """, master AS (SELECT DISTINCT keyword FROM pieces), shown AS (SELECT DISTINCT b.item_id AS query_id, p.keyword FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20) JOIN pieces p USING (doc_id)),
@@ -317,10 +358,12 @@ COVERED = """, master AS (SELECT DISTINCT keyword FROM pieces), shown AS (SELECT
 
 
 def marked(spark, sf_dir) -> DataFrame:
-    pieces = corpus(spark, sf_dir).select("entry_index", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("keyword"))
-    asked = offer_keywords(spark, sf_dir)
-    target = pieces.join(F.broadcast(asked.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("entry_index")).distinct()), "entry_index").select("query_id", "keyword")
-    return report.coverage(asked, pieces.join(F.broadcast(asked.select("keyword").distinct()), "keyword", "left_semi"), target)
+    asked = offer_words(spark, sf_dir)
+    words = corpus(spark, sf_dir).select("entry_index", F.explode(retrieval.word_runs(F.lower("text"))).alias("keyword"))
+    # only asked keywords go through the shuffle, which master and target share
+    held = words.join(F.broadcast(asked.select("keyword").distinct()), "keyword").groupBy("entry_index", "keyword").agg(F.count("*").alias("n"))
+    shown = held.join(asked.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("entry_index")).distinct(), "entry_index").select("query_id", "keyword")
+    return report.coverage(asked, held.select("keyword"), shown)
 
 
 @query(f"WITH {BM25} {COVERED} SELECT query_id, keyword, freq, in_master, in_target, critical FROM marked")
@@ -329,8 +372,8 @@ def coverage_marks(spark, sf_dir):
 
 
 @query(f"""WITH {BM25} {COVERED} SELECT query_id, round_even(sum(CASE WHEN in_target THEN freq ELSE 0 END) / sum(freq)::DOUBLE * 100, 0)::INT AS score,
-    coalesce(array_to_string(list(keyword ORDER BY keyword) FILTER (in_master AND NOT in_target), ','), '') AS missing_in_target, coalesce(array_to_string(list(keyword ORDER BY keyword) FILTER (NOT in_master), ','), '') AS not_in_master,
-    coalesce(array_to_string(list(keyword ORDER BY keyword) FILTER (critical AND in_master AND NOT in_target), ','), '') AS critical_missing FROM marked GROUP BY 1""")
+    coalesce(array_to_string(list(keyword ORDER BY freq DESC, keyword) FILTER (in_master AND NOT in_target), ','), '') AS missing_in_target, coalesce(array_to_string(list(keyword ORDER BY freq DESC, keyword) FILTER (NOT in_master), ','), '') AS not_in_master,
+    coalesce(array_to_string(list(keyword ORDER BY freq DESC, keyword) FILTER (critical AND in_master AND NOT in_target), ','), '') AS critical_missing FROM marked GROUP BY 1""")
 def coverage_report(spark, sf_dir):
     out = report.summary(marked(spark, sf_dir))
     return out.select("query_id", "score", *[F.array_join(c, ",").alias(c) for c in ("missing_in_target", "not_in_master", "critical_missing")])
@@ -412,12 +455,12 @@ def import_lines_fold(spark, sf_dir):
 
 EDGES = f"""sims AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({SIMS.format(a="a.embedding", b="b.embedding")}, 9) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
     tops AS (SELECT a, greatest(max(sim), 0) AS top FROM sims GROUP BY 1),
-    edges AS (SELECT s.label, s.a, s.b, s.sim FROM sims s JOIN tops x ON x.a = s.a JOIN tops y ON y.a = s.b WHERE s.a < s.b AND s.sim >= x.top - 1e-9 AND s.sim >= y.top - 1e-9 AND s.sim >= 0.5)"""
+    edges AS (SELECT s.label, s.a, s.b, s.sim FROM sims s JOIN tops x ON x.a = s.a JOIN tops y ON y.a = s.b WHERE s.a < s.b AND s.sim >= x.top - 1e-9 AND s.sim >= y.top - 1e-9 AND s.sim >= 0.3)"""
 
 
 def nearest_edges(spark, sf_dir) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")
-    return importer.mutual_edges(importer.similarities(vectors, "label"), "label", 0.5)
+    return importer.mutual_edges(importer.similarities(vectors, "label"), "label", 0.3)
 
 
 @query(f"WITH {EDGES} SELECT label, a, b, round(sim, 6) AS sim FROM edges")
@@ -457,7 +500,7 @@ def offer_title(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", title_of(F.col("text")).alias("title"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS text FROM pages""")
 def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
 

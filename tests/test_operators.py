@@ -58,16 +58,6 @@ def test_cover_swaps_the_last_pick_once():
     assert selection.cover(texts, [0, 2], {"docker": ["docker"]}) == [0, 2]
 
 
-def test_global_swap_replaces_the_weakest_entry():
-    slot = lambda i, s, t: {"slot_index": i, "score": s, "text": t}
-    chosen = [{"section": "x", "entry_index": 0, "entry_score": 0.9, "slots": [slot(0, 0.9, "python")]}, {"section": "x", "entry_index": 1, "entry_score": 0.5, "slots": [slot(0, 0.5, "java")]}]
-    rest = [{"section": "x", "entry_index": 2, "entry_score": 0.2, "slots": [slot(0, 0.2, "docker here")]}]
-    out = selection.global_swaps(chosen, rest, {"docker": ["docker"]}, set(), 1)
-    assert [e["entry_index"] for e in out] == [0, 2] and out[1]["swap_step"] == 1
-    assert selection.global_swaps(chosen, rest, {"docker": ["docker"]}, {"docker"}, 1) == chosen
-    assert selection.global_swaps(chosen, rest, {"docker": ["docker"]}, set(), 1, max_swaps=0) == chosen
-
-
 def clustered(spark, matrix):
     n = len(matrix)
     sims = spark.createDataFrame([("b", i, j, float(matrix[i][j])) for i in range(n) for j in range(n) if i != j], "block string, a int, b int, sim double")
