@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; all but the last return the columns of documents.
+
+Defined results: a null text counts as empty everywhere; the classifier judges
+an empty text as any other; empty texts are near copies of each other, texts
+without words only of identical ones; a text without words holds no benchmark
+item; a row without tokens is used once in the mixture; null sources are a source
+of their own. Rows that repeat an id are judged each by its own text; of rows
+that repeat both, all share one verdict. A null id is never the one that stays of
+a group that has another. Ties are broken by doc_id, then by the text. An empty
+table passes through as an empty one. Further columns, whatever their names, are
+carried along, except those of the shards' own names, which the last stage
+replaces.
 """
 
 from __future__ import annotations
