@@ -29,11 +29,22 @@ def near_enough(share: float):
     return lambda a, b: F.least(a, b) >= F.greatest(a, b) * share
 
 
+def word_bits(texts: list[str], width: int) -> np.ndarray:
+    """A row of bits for each text: its words, each labelled with its occurrence, hashed."""
+    out = np.zeros((len(texts), width), np.uint8)
+    for row, text in zip(out, texts, strict=True):
+        seen: dict = {}
+        for word in text.split():
+            seen[word] = n = seen.get(word, 0) + 1
+            row[xxhash.xxh32_intdigest(f"{n} {word}") % width] = 1
+    return out
+
+
 @dataclass(frozen=True)
 class Marks:
-    """How texts are marked: their items, each labelled with its occurrence, as bits of `words` 64-bit numbers. One edit changes at most `per_edit` items."""
+    """How texts are marked: bits(texts, width) gives a row of that many bits for each text, kept as `words` 64-bit numbers. One edit takes at most `per_edit` bits away."""
 
-    items: Callable[[str], list]
+    bits: Callable[[list[str], int], np.ndarray]
     per_edit: int
     words: int
 
@@ -42,12 +53,7 @@ class Marks:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = np.zeros((batch.num_rows, self.words * 64), np.uint8)
-                for row, text in zip(rows, batch.column(1), strict=True):
-                    seen: dict = {}
-                    for item in self.items(text.as_py()):
-                        seen[item] = n = seen.get(item, 0) + 1
-                        row[xxhash.xxh32_intdigest(f"{n} {item}") % len(row)] = 1
+                rows = self.bits(batch.column(1).to_pylist(), self.words * 64)
                 ends = np.arange(len(rows) + 1, dtype=np.int32) * self.words
                 marks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.packbits(rows, axis=1).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows.sum(axis=1, dtype=np.int32)), marks], names=["node", "bits", "marks"])

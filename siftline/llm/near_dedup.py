@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from .alignment import similar
 from .common import checked_broadcast, joined_by, written
-from .graph import Marks, classes
+from .graph import Marks, classes, word_bits
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 #: Distinct words whose hashes a worker keeps; beyond it the cache starts afresh.
 CACHED_WORDS = 100_000
 #: A word edit changes one word of each text at most.
-MARKS = Marks(str.split, 1, 128)
+MARKS = Marks(word_bits, 1, 128)
 
 
 class Hashes(dict):
