@@ -126,11 +126,11 @@ def word_runs(text: Column) -> Column:
 def held_terms(terms: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
     """Of (query_id, term) those terms that a text of the corpus holds between characters other than a-z and 0-9: (query_id, held array).
 
-    A text is asked only for terms whose first run of a-z and 0-9 it holds whole, by hash join.
+    A text is asked only for terms whose first run of a-z and 0-9 it holds whole, by hash join; terms without one are asked of all.
     """
     runs = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    asked = terms.select("term").distinct().withColumn("run", F.get(runs(F.col("term")), F.lit(0))).where("run is not null")
-    met = corpus.select(F.lower(text).alias("_t"), F.explode(F.array_distinct(runs(F.col(text)))).alias("run")).join(small(asked), "run")
+    asked = terms.select("term").distinct().withColumn("run", F.coalesce(F.get(runs(F.col("term")), F.lit(0)), F.lit("")))
+    met = corpus.select(F.lower(text).alias("_t"), F.explode(F.array_union(runs(F.col(text)), F.array(F.lit("")))).alias("run")).join(small(asked), "run")
     held = met.where(stands_in(F.col("_t"), F.col("term"))).select("term").distinct()
     return terms.join(held, "term", "left_semi").groupBy("query_id").agg(F.collect_set("term").alias("held"))
 

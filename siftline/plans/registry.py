@@ -83,7 +83,8 @@ BM25 = rf"""
     plain AS (SELECT doc_id, lang AS section, translate(lower(text), '-/+', '   ') AS t FROM documents),
     kscore AS (SELECT query_id, section, doc_id, sum(freq)::DOUBLE AS score FROM (
         SELECT query_id, section, doc_id, freq FROM pieces JOIN kw USING (keyword)
-        UNION ALL SELECT query_id, section, doc_id, 1 FROM plain JOIN pairs ON regexp_matches(t, '(^|{APART1})' || w1 || '\s+' || w2 || '({APART1}|$)')) GROUP BY 1, 2, 3),
+        UNION ALL SELECT query_id, p.section, p.doc_id, 1 FROM pairs JOIN pieces a ON a.keyword = w1 JOIN pieces b ON b.doc_id = a.doc_id AND b.keyword = w2 JOIN plain p ON p.doc_id = a.doc_id
+            WHERE regexp_matches(t, '(^|{APART1})' || w1 || '\s+' || w2 || '({APART1}|$)')) GROUP BY 1, 2, 3),
     kws AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, doc_id) - 1 AS rank FROM kscore QUALIFY rank < 50)
 """
 

@@ -78,9 +78,9 @@ def marked(keywords: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
     each = keywords.select("query_id", "keyword", F.explode(retrieval.variants_of(F.col("keyword"))).alias("term"))
     own = [] if every else ["query_id"]
     runs = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    asked = each.withColumn("run", F.get(runs(F.col("term")), F.lit(0)))
+    asked = each.withColumn("run", F.coalesce(F.get(runs(F.col("term")), F.lit(0)), F.lit("")))
     distinct = asked.select(*own, "term", "run").distinct()
-    met = texts.select(*own, F.lower("text").alias("_t"), F.explode(F.array_distinct(runs(F.col("text")))).alias("run")).join(distinct, [*own, "run"])
+    met = texts.select(*own, F.lower("text").alias("_t"), F.explode(F.array_union(runs(F.col("text")), F.array(F.lit("")))).alias("run")).join(distinct, [*own, "run"])
     held = met.where(T.stands_in(F.col("_t"), F.col("term"))).select(*own, "term").distinct()
     found = each.join(held, [*own, "term"], "left_semi").select("query_id", "keyword").distinct().withColumn("held", F.lit(True))
     return keywords.join(found, ["query_id", "keyword"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
