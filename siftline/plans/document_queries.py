@@ -103,7 +103,7 @@ def assembled_lines(spark, sf_dir):
     named = F.array(*[F.struct(F.lit(p).alias("position"), e.cast("int").alias("entry_index")) for p, e in enumerate((F.col("item_id") % 20, (F.col("item_id") + 7) % 20, F.lit(999)))])
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(named).alias("x")).select("query_id", "x.*", order.alias("slot_order"), F.expr("cast(map() as map<int,string>)").alias("angles"))
     slots = numbered_slots(spark, sf_dir)
-    every = items.join(F.broadcast(slots.select("section").distinct()), F.lit(True))
+    every = items.join(retrieval.small(slots.select("section").distinct()), F.lit(True))
     out = assembly.assembled(every, slots, 1, 2)
     return out.select("query_id", "section", F.col("place").cast("int").alias("place"), "entry_index", "out_pos", F.md5("text").alias("digest"))
 
@@ -212,7 +212,7 @@ def custom_keywords(spark, sf_dir):
 def summary_pick(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("index"), F.array_distinct(plain()).alias("tokens"))
     asked = offers(spark, sf_dir).select("query_id", F.col("tokens").alias("asked"))
-    return selection.summary_index(texts.join(F.broadcast(asked), F.lit(True)), F.col("asked"))
+    return selection.summary_index(texts.join(retrieval.small(asked), F.lit(True)), F.col("asked"))
 
 
 @query("""WITH s AS (SELECT conv_id AS session_id, turn AS cluster_id, CASE WHEN turn % 3 = 0 THEN 'done' WHEN turn % 3 = 1 THEN 'awaiting' ELSE 'pending' END AS status FROM conversations),
@@ -251,12 +251,12 @@ def missing_keywords_ordered(spark, sf_dir):
 def runs_page_total(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     total, out = history.page_with_total(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25, 10)
-    return out.join(F.broadcast(total), F.lit(True)).select("total", "o_orderkey")
+    return out.join(retrieval.small(total), F.lit(True)).select("total", "o_orderkey")
 
 
 @query()
 def match_reasons(spark, sf_dir):
-    found = placed(spark, sf_dir).where("rank < 3").join(F.broadcast(offers(spark, sf_dir).select("query_id", F.col("text").alias("chunk"))), "query_id")
+    found = placed(spark, sf_dir).where("rank < 3").join(retrieval.small(offers(spark, sf_dir).select("query_id", F.col("text").alias("chunk"))), "query_id")
     return found.select("query_id", "section", "doc_id", selection.match_reason(F.col("text"), F.col("chunk")).alias("reason"))
 
 

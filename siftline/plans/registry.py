@@ -191,7 +191,7 @@ def positional_score(spark, sf_dir):
 
 @query(f"WITH {BM25} {RRF.format(w=0.5)} SELECT f.query_id, f.section, f.doc_id, round_even(1 / (1 + exp(-(length(c.text) - length(q.text)) / 1000.0::DOUBLE)), 3) AS score FROM fused f JOIN c USING (section, doc_id) JOIN q USING (query_id) WHERE rank < 30")
 def sigmoid_rerank(spark, sf_dir):
-    pairs = fused(spark, sf_dir).where("rank < 30").join(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id").join(F.broadcast(offers(spark, sf_dir).select("query_id", F.col("text").alias("query_text"))), "query_id")
+    pairs = fused(spark, sf_dir).where("rank < 30").join(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id").join(retrieval.small(offers(spark, sf_dir).select("query_id", F.col("text").alias("query_text"))), "query_id")
     return retrieval.rerank(pairs, lambda q, t: (t.str.len() - q.str.len()) / 1000.0).select("query_id", "section", "doc_id", "score")
 
 
@@ -362,7 +362,7 @@ def marked(spark, sf_dir) -> DataFrame:
     asked = offer_words(spark, sf_dir)
     words = corpus(spark, sf_dir).select("entry_index", F.explode(retrieval.word_runs(F.lower("text"))).alias("keyword"))
     # only asked keywords go through the shuffle, which master and target share
-    held = words.join(F.broadcast(asked.select("keyword").distinct()), "keyword").groupBy("entry_index", "keyword").agg(F.count("*").alias("n"))
+    held = words.join(retrieval.small(asked.select("keyword").distinct()), "keyword").groupBy("entry_index", "keyword").agg(F.count("*").alias("n"))
     shown = held.join(asked.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("entry_index")).distinct(), "entry_index").select("query_id", "keyword")
     return report.coverage(asked, held.select("keyword"), shown)
 

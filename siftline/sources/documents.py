@@ -94,7 +94,11 @@ def read_slots(docs: DataFrame, key: str = "path", text: str = "text") -> DataFr
 
 def corrupt(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """Keys of the documents that can't be read."""
-    bad = F.udf(lambda t: parsed(t) is None, "boolean")
+
+    @F.pandas_udf("boolean")
+    def bad(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: parsed(t) is None)
+
     return docs.where(bad(text)).select(key)
 
 
@@ -128,12 +132,20 @@ def highlight_texts(doc: dict) -> list[str]:
 
 def imported(sources: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
     """(file, pos, text) of sources (file, kind, content): text, yaml, json or base64 pdf by a given extractor; other kinds count as text."""
-    structured = F.udf(lambda t: [x.strip() for x in highlight_texts(parsed(t) or {}) if x.strip()], "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def structured(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [x.strip() for x in highlight_texts(parsed(t) or {}) if x.strip()])
+
+    @F.pandas_udf("string")
+    def extracted(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: pdf_text(base64.b64decode(c)) if c else "")
+
     kind = F.lower(F.coalesce("kind", F.lit("text")))
     text: Column = F.col("content")
     if pdf_text is not None:
-        text = F.when(kind == "pdf", F.udf(lambda c: pdf_text(base64.b64decode(c)) if c else "", "string")("content")).otherwise(text)
-    found = F.when(kind.isin("yaml", "json"), structured("content")).when((kind == "pdf") & F.lit(pdf_text is None), F.expr("cast(array() as array<string>)")).otherwise(bullets(text))
+        text = F.when(kind == "pdf", extracted(F.when(kind == "pdf", F.col("content")))).otherwise(text)
+    found = F.when(kind.isin("yaml", "json"), structured(F.when(kind.isin("yaml", "json"), F.col("content")))).when((kind == "pdf") & F.lit(pdf_text is None), F.expr("cast(array() as array<string>)")).otherwise(bullets(text))
     return sources.select("file", F.posexplode(found).alias("pos", "text"))
 
 
@@ -147,3 +159,16 @@ def dumped(doc: dict) -> str:
     """A document as YAML (JSON without it), keys in order, internal keys left out."""
     plain = visible(doc)
     return yaml.safe_dump(plain, allow_unicode=True, sort_keys=False) if yaml else json.dumps(plain, ensure_ascii=False, indent=2)
+
+
+def write_document(spark: SparkSession, doc: dict, path: str) -> None:
+    """A document as a YAML file, on any storage that Spark writes to; the file appears whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    side, place = hadoop.Path(f"{path}.part"), hadoop.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(side, True)
+    out.write(bytearray(dumped(doc).encode()))
+    out.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    fs.rename(side, place)

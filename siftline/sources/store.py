@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.operators.retrieval import bm25_terms
 
@@ -200,18 +201,18 @@ def latest_file(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> str
 
 def read_runs(spark: SparkSession, path: str, schema: str, aside: str | None = None) -> DataFrame:
     """Runs of JSON files (lists of runs, or single ones). Files that can't be read give none; aside: they are moved there."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").json(path, multiLine=True, mode="PERMISSIVE").withColumn("_file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    good = F.try_parse_json("value").isNotNull()
     if aside is not None:
-        files = [r._file for r in raw.where("_corrupt_record is not null").select("_file").distinct().toLocalIterator()]
         jvm = spark.sparkContext._jvm
-        for f in files:
-            source = jvm.org.apache.hadoop.fs.Path(f)
+        for row in raw.where(~good).select("file").toLocalIterator():
+            source = jvm.org.apache.hadoop.fs.Path(row.file)
             fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
             fs.mkdirs(jvm.org.apache.hadoop.fs.Path(aside))
             fs.rename(source, jvm.org.apache.hadoop.fs.Path(f"{aside}/{source.getName()}.bak"))
-        raw = spark.read.schema(f"{schema}, _corrupt_record string").json(path, multiLine=True, mode="PERMISSIVE") if files else raw.drop("_file")
-        return raw.where("_corrupt_record is null").drop("_corrupt_record")
-    return raw.where("_corrupt_record is null").drop("_corrupt_record", "_file")
+        raw = spark.read.text(path, wholetext=True)
+    # a single run reads as a list of one
+    return raw.where(good).select(F.inline(F.from_json("value", T.ArrayType(T.StructType.fromDDL(schema)))))
 
 
 def read_cases(spark: SparkSession, *folders: str) -> tuple[DataFrame, DataFrame]:

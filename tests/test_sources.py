@@ -19,6 +19,46 @@ def test_imported_kinds(spark):
     assert sorted((r.file, r.text) for r in documents.imported(src).collect()) == [("a", "first line here"), ("a", "second line"), ("b", "From json")]
 
 
+def test_documents_are_written_and_read(spark, tmp_path):
+    path = f"file://{tmp_path}/d/doc.yaml"
+    documents.write_document(spark, {"cv": {"sections": {"summary": ["Año 1"]}}, "_own": 1}, path)
+    documents.write_document(spark, {"cv": {"sections": {"summary": ["Año 2"]}}, "_own": 1}, path)
+    rows = documents.read_slots(documents.read_documents(spark, f"{tmp_path}/d/*.yaml")).collect()
+    assert [r.text for r in rows] == ["Año 2"] and store.latest_file(spark, f"file://{tmp_path}/d", "*.yaml").endswith("doc.yaml")
+
+
+def test_runs_texts_and_sessions(spark, tmp_path):
+    tables = store.Tables(spark, f"file://{tmp_path}/t")
+    texts = store.RunTexts(tables)
+    assert texts.get("a") is None and not texts.delete("a")
+    texts.put("a", "one")
+    texts.put("b", "two")
+    texts.put("a", "three")
+    assert texts.get("a") == "three" and texts.delete("a") and texts.get("a") is None and texts.get("b") == "two"
+    assert tables.within(f"file://{tmp_path}/t/x/../y") and not tables.within(f"file://{tmp_path}/t/../secret")
+    sessions = store.Sessions(tables)
+    assert sessions.load("s") is None
+    frames = [spark.createDataFrame([("s", 1)], "session_id string, id int") for _ in range(3)]
+    sessions.save("s", *frames)
+    assert sessions.load("s")[0].count() == 1 and sessions.load("other") is None
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "good.json").write_text(json.dumps([{"run_id": "r"}]))
+    (tmp_path / "runs" / "bad.json").write_text("{broken")
+    runs = store.read_runs(spark, f"file://{tmp_path}/runs", "run_id string", aside=f"file://{tmp_path}/aside")
+    assert [r.run_id for r in runs.collect()] == ["r"] and (tmp_path / "aside" / "bad.json.bak").exists()
+
+
+def test_index_scores_equal_the_corpus(spark, tmp_path):
+    from siftline.operators import retrieval
+
+    index = store.RetrievalIndex(store.Tables(spark, f"file://{tmp_path}/s"))
+    corpus = spark.createDataFrame([("s", 1, ["a", "b", "a"]), ("s", 2, ["b", "c"]), ("s", 3, ["d"])], "section string, doc_id int, tokens array<string>")
+    queries = spark.createDataFrame([(7, ["a", "c", "c"])], "query_id int, tokens array<string>")
+    index.build(corpus, "p")
+    rounded = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert rounded(index.scores(queries)) == rounded(retrieval.bm25_scores(corpus, queries))
+
+
 def test_tables_versions_and_cache(spark, tmp_path):
     tables = store.Tables(spark, f"file://{tmp_path}/t")
     tables.write("runs", spark.range(3))
