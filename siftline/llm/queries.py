@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER, documents
+from .statements import clusters_sql
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_classifier, op4_decontamination, op5_mixing, op6_pii, op7_secrets, op8_sharding, op9_minhash_dedup, op10_token_output)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exponion import clustered
+
+    return clustered(documents(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_classifier, op4_decontamination, op5_mixing, op6_pii, op7_secrets, op8_sharding, op9_minhash_dedup, op10_token_output, op11_centroid_clusters)}
 
 SQL = {
     "op1_exact_dedup": f"""
@@ -93,4 +100,5 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",
+    "op11_centroid_clusters": clusters_sql(),
 }
