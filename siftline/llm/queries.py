@@ -92,7 +92,16 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(documents(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_classifier, op4_decontamination, op5_mixing, op6_pii, op7_secrets, op8_sharding, op9_minhash_dedup, op10_token_output, op11_centroid_clusters)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_classifier, op4_decontamination, op5_mixing, op6_pii, op7_secrets, op8_sharding, op9_minhash_dedup, op10_token_output, op11_centroid_clusters, op13_packing)}
 
 SQL = {
     "op1_exact_dedup": f"""
