@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER, documents
-from .statements import clusters_sql
+from .statements import clusters_sql, collocations_sql
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,12 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(documents(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,7 +107,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_classifier, op4_decontamination, op5_mixing, op6_pii, op7_secrets, op8_sharding, op9_minhash_dedup, op10_token_output, op11_centroid_clusters, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_classifier, op4_decontamination, op5_mixing, op6_pii, op7_secrets, op8_sharding, op9_minhash_dedup, op10_token_output, op11_centroid_clusters, op12_collocations, op13_packing)}
 
 SQL = {
     "op1_exact_dedup": f"""
@@ -110,4 +116,5 @@ SQL = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",
     "op11_centroid_clusters": clusters_sql(),
+    "op12_collocations": collocations_sql(),
 }
