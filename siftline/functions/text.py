@@ -187,15 +187,33 @@ def stands_in(text: Column, term: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), term, F.lit(r"\E([^a-z0-9]|$)")))
 
 
+def variants_of(keyword: Column) -> Column:
+    """A keyword's variants, itself among them."""
+    terms = dict.fromkeys(t for k, v in SYNONYMS.items() for t in (k, *v))
+    table = F.create_map(*[x for t in terms for x in (F.lit(t), F.array(*[F.lit(v) for v in variants(t)]))])
+    low = F.lower(F.trim(keyword))
+    return F.when(low.isin(*terms), table[low]).otherwise(F.array(low))
+
+
+def mentions(text: Column, term: Column) -> Column:
+    """Whether a term or a variant of it stands in a lower-cased text between characters other than a-z and 0-9."""
+    return F.exists(variants_of(term), lambda v: stands_in(text, v))
+
+
+def excludes(negated: Column, text: Column) -> Column:
+    """Whether a text mentions one of the terms that a query excludes."""
+    return once(F.lower(text), lambda low: F.exists(negated, lambda t: mentions(low, t)))
+
+
 def negated_terms(text: Column, held: Column, dictionary=(), patterns=NEGATIONS) -> Column:
-    """Terms that a text excludes: dictionary terms, and those of negated_candidates that a corpus holds, unless another sentence names them."""
+    """Terms that a text excludes: dictionary terms, and those of negated_candidates that a corpus holds, unless another sentence names them or a variant of theirs."""
     said = sentences(text)
     fragment = F.array_join(F.filter(said, lambda s: negated(s, patterns)), " ")
     positive = F.lower(F.array_join(F.filter(said, lambda s: ~negated(s, patterns)), " "))
     none = F.expr("cast(array() as array<string>)")
     opened = F.array_intersect(negated_candidates(text, patterns), F.coalesce(held, none))
     listed = dictionary_terms(fragment, dictionary) if dictionary else none
-    return F.array_sort(F.filter(F.array_distinct(F.concat(listed, opened)), lambda t: ~stands_in(positive, t)))
+    return F.array_sort(F.filter(F.array_distinct(F.concat(listed, opened)), lambda t: ~mentions(positive, t)))
 
 
 def text_lines(text: Column, width: int = 90) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .retrieval import dot
+from .nearest import similar_pairs
 
 SHORTEST, LONGEST, THRESHOLD, TIE = 8, 300, 0.78, 1e-9
 
@@ -27,11 +28,11 @@ def bullets(text: Column) -> Column:
     return F.aggregate(lines, F.expr("cast(array() as array<string>)"), add)
 
 
-def similarities(vectors: DataFrame, block: str) -> DataFrame:
-    """(block, a, b, sim) for a <> b within blocks; blocks keep the self-join off all pairs."""
-    a = vectors.select(block, F.col("id").alias("a"), F.col("embedding").alias("va"))
-    b = vectors.select(block, F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, block).where("a <> b").select(block, "a", "b", F.round(dot(F.col("va"), F.col("vb")), 9).alias("sim"))
+def nearest_edges(vectors: DataFrame, block: str, threshold: float = THRESHOLD, count: Accumulator | None = None) -> DataFrame:
+    """(block, a, b, sim) of the pairs a < b of vectors (block, id, embedding) that are each other's nearest and at least as similar as the threshold, without all pairs of a block."""
+    # pairs below the threshold make no edge, and no row's maximum that matters is among them
+    pairs = cut(similar_pairs(vectors, block, threshold, count))
+    return mutual_edges(pairs.unionByName(pairs.select(block, F.col("b").alias("a"), F.col("a").alias("b"), "sim")), block, threshold)
 
 
 def mutual_edges(sims: DataFrame, block: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,16 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders of our own, by application, where a local session names none.
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app not in _own:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        _own[app] = f"file://{tempfile.mkdtemp(prefix='siftline-')}"
+    return _own[app]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/siftline-{uuid.uuid4().hex}/{name}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df worked out and kept in the shared folder that spark.checkpoint.dir names; a folder of our own only where a local session names none."""
+    """df worked out and kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: later plans read the columns and rows that they need of it."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by written(), once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

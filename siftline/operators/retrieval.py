@@ -12,12 +12,16 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.stems import stem_table
-from siftline.functions.text import count_term, normalise, stands_in
-from siftline.functions.words import SEPARATORS, SYNONYMS, variants
+from siftline.functions.text import count_term, normalise, once, pairs_of, stands_in, variants_of
+from siftline.functions.words import SEPARATORS
+
+from .lineage import cut
+from .nearest import top_products
 
 #: Rows up to which the query side of a join is broadcast.
 QUERY_ROWS = 200_000
@@ -45,9 +49,15 @@ def stemmed(counts: DataFrame, count: str) -> DataFrame:
 
 
 def term_table(corpus: DataFrame, terms: str = "tokens", stem: bool = False) -> DataFrame:
-    """(section, doc_id, term, tf): one row a document and term; df, avgdl and scores all read this one aggregate."""
-    out = corpus.select("section", "doc_id", F.explode(terms).alias("term")).groupBy("section", "doc_id", "term").agg(F.count("*").alias("tf"))
-    return stemmed(out, "tf") if stem else out
+    """(section, doc_id, dl, term, tf), a row a document and term, written down: statistics and scores all read this one table.
+
+    Documents are dealt out before their terms are parted, so terms are counted
+    without another shuffle.
+    """
+    docs = corpus.select("section", "doc_id", F.col(terms).alias("tokens")).repartition("section", "doc_id")
+    each = docs.select("section", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    out = each.groupBy("section", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return cut(stemmed(out, "tf") if stem else out)
 
 
 def bm25_terms(corpus: DataFrame, terms: str = "tokens", epsilon: float = EPSILON, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -57,54 +67,52 @@ def bm25_terms(corpus: DataFrame, terms: str = "tokens", epsilon: float = EPSILO
     count, total = corpus.groupBy("section").agg(F.count("*").alias("n")), table.groupBy("section").agg(F.sum("tf").alias("total"))
     stats = count.join(total, "section", "left").select("section", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
     df = table.groupBy("section", "term").agg(F.count("*").alias("df"))
-    raw = df.join(stats, "section").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.join(small(stats), "section").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("section").agg((F.avg("raw") * epsilon).alias("floor"))
-    idf = raw.join(floor, "section").select("section", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    idf = raw.join(small(floor), "section").select("section", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return idf, stats
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, terms: str = "tokens", k1: float = K1, b: float = B, pad: int | None = None, stem: bool = False) -> DataFrame:
+def bm25_scores(corpus: DataFrame, queries: DataFrame, terms: str = "tokens", k1: float = K1, b: float = B, pad: int | None = None, stem: bool = False, table: DataFrame | None = None) -> DataFrame:
     """(query_id, section, doc_id, score) of documents that share a term with a query; query terms count as often as they stand there.
 
-    The corpus is tokenised once: frequencies, lengths and document frequencies
-    come from one table of (section, document, term), whose shuffle they share.
-    pad: of documents that score 0, the first `pad` of each section by doc_id are
-    added, as many as a ranking of that depth can show.
+    The corpus is tokenised once, into `table` (term_table's) where none is given;
+    of it the asked terms alone are weighed. pad: of documents that score 0, the
+    first `pad` of each section by doc_id are added, as many as a ranking of that
+    depth can show.
     """
     asked = queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = stemmed(asked, "times") if stem else asked
+    asked = cut(stemmed(asked, "times") if stem else asked)
     n = asked.limit(QUERY_ROWS + 1).count()  # one look at the queries decides for both of their joins
     hint = F.broadcast if n <= QUERY_ROWS else lambda df: df
-    table = term_table(corpus, terms, stem)
+    table = term_table(corpus, terms, stem) if table is None else table
     idf, stats = bm25_terms(corpus, terms, table=table)
-    lengths = table.groupBy("section", "doc_id").agg(F.sum("tf").alias("dl"))
-    # inner joins: a semi join would move under the aggregate and make a second table
-    tf = table.join(hint(asked.select("term").distinct()), "term").join(lengths, ["section", "doc_id"])
-    weighed = tf.join(idf, ["section", "term"]).join(stats, "section")
+    wanted = hint(asked.select("term").distinct())
+    idf = cut(idf.join(wanted, "term").select("section", "term", "idf"))
+    tf = table.join(wanted, "term").join(small(idf), ["section", "term"]).join(small(stats), "section")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = weighed.select("section", "doc_id", "term", part.alias("part"))
+    weighed = tf.select("section", "doc_id", "term", part.alias("part"))
     scores = weighed.join(hint(asked), "term").groupBy("query_id", "section", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
-    if pad:
-        first = corpus.select("section", "doc_id", F.row_number().over(Window.partitionBy("section").orderBy("doc_id")).alias("_place")).where(F.col("_place") <= pad).drop("_place")
-        none = queries.select("query_id").distinct().join(small(first), F.lit(True)).join(scores, ["query_id", "section", "doc_id"], "left_anti")
-        scores = scores.unionByName(none.select("query_id", "section", "doc_id", F.lit(0.0).alias("score")))
-    return scores
+    return padded(scores, corpus, queries, pad) if pad else scores
+
+
+def padded(scores: DataFrame, corpus: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """scores and, with score 0, those of the first `depth` documents of each section by doc_id that a query has none for."""
+    first = corpus.select("section", "doc_id", F.row_number().over(Window.partitionBy("section").orderBy("doc_id")).alias("_place")).where(F.col("_place") <= depth).drop("_place")
+    none = queries.select("query_id").distinct().join(small(first), F.lit(True)).join(scores, ["query_id", "section", "doc_id"], "left_anti")
+    return scores.unionByName(none.select("query_id", "section", "doc_id", F.lit(0.0).alias("score")))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def max_sim(corpus: DataFrame, chunks: DataFrame, top_k: int = 50) -> DataFrame:
+def max_sim(corpus: DataFrame, chunks: DataFrame, top_k: int = 50, count: Accumulator | None = None) -> DataFrame:
     """Best chunk of each query for each document: corpus (section, doc_id, embedding), chunks (query_id, chunk_idx, embedding).
 
-    The query's chunks are the broadcast side; the pair product is consumed by
-    a partial aggregate before any shuffle.
+    Exact, by blocks around pivots (`nearest.top_products`); count: adds up the products worked out.
     """
-    pairs = corpus.select("section", "doc_id", F.col("embedding").alias("d")).crossJoin(small(chunks.select("query_id", "chunk_idx", F.col("embedding").alias("q"))))
-    sims = pairs.select("query_id", "section", "doc_id", "chunk_idx", F.round(dot(F.col("d"), F.col("q")), 9).alias("sim"))
-    best = sims.groupBy("query_id", "section", "doc_id").agg(F.max("sim").alias("score"), F.max_by("chunk_idx", F.struct("sim", -F.col("chunk_idx"))).alias("best_chunk"))
-    return ranked(best, top_k)
+    return ranked(top_products(corpus, chunks, top_k, count), top_k)
 
 
 def prefixed(texts: Column, role: str, model: str) -> Column:
@@ -124,25 +132,18 @@ def word_runs(text: Column) -> Column:
 
 
 def held_terms(terms: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """Of (query_id, term) those terms that a text of the corpus holds between characters other than a-z and 0-9: (query_id, held array).
+    """Of (query_id, term) those terms of which a text of the corpus holds a variant between characters other than a-z and 0-9: (query_id, held array).
 
-    A text is asked only for terms whose first run of a-z and 0-9 it holds whole, by hash join; terms without one are asked of all.
+    A text is asked only for variants whose first run of a-z and 0-9 it holds whole, by hash join; those without one are asked of all.
     """
     runs = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    asked = terms.select("term").distinct().withColumn("run", F.coalesce(F.get(runs(F.col("term")), F.lit(0)), F.lit("")))
+    each = terms.select("term").distinct().withColumn("variant", F.explode(variants_of(F.col("term"))))
+    asked = each.withColumn("run", F.coalesce(F.get(runs(F.col("variant")), F.lit(0)), F.lit("")))
     met = corpus.select(F.lower(text).alias("_t"), F.explode(F.array_union(runs(F.col(text)), F.array(F.lit("")))).alias("run")).join(small(asked), "run")
-    held = met.where(stands_in(F.col("_t"), F.col("term"))).select("term").distinct()
+    held = met.where(stands_in(F.col("_t"), F.col("variant"))).select("term").distinct()
     return terms.join(held, "term", "left_semi").groupBy("query_id").agg(F.collect_set("term").alias("held"))
 
 
-def variants_of(keyword: Column) -> Column:
-    """A keyword's variants, itself among them."""
-    terms = dict.fromkeys(t for k, v in SYNONYMS.items() for t in (k, *v))
-    table = F.create_map(*[x for t in terms for x in (F.lit(t), F.array(*[F.lit(v) for v in variants(t)]))])
-    low = F.lower(F.trim(keyword))
-    return F.when(low.isin(*terms), table[low]).otherwise(F.array(low))
-
-
 def with_variants(keywords: DataFrame) -> DataFrame:
     """keywords (query_id, keyword, freq) with a row for each variant: variant, its pattern, whether that reads the raw text, and run, a run of word characters that any match holds whole."""
     each = keywords.where(F.trim("keyword") != "").withColumn("variant", F.explode(variants_of(F.col("keyword"))))
@@ -157,28 +158,62 @@ def with_variants(keywords: DataFrame) -> DataFrame:
     return each.select("query_id", "keyword", "freq", "variant", raw.alias("raw"), F.concat(F.lit("(?U)"), left, body, right).alias("pattern"), run.alias("run"))
 
 
+#: What stands for marks between words.
+APART = "\u241e"
+
+
+def word_grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of n neighbouring words of the normalised text with nothing but white space between them, joined by blanks, for each n."""
+    parted = F.split(F.regexp_replace(normalise(text), r"(?U)[^\w\s]+", f" {APART} "), r"(?U)\s+")
+
+    def grams(w: Column) -> Column:
+        each = []
+        for n in sizes:
+            if n == 1:
+                runs = w
+            elif n == 2:
+                runs = pairs_of(w)
+            else:
+                runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+                runs = F.when(F.size(w) >= n, runs).otherwise(F.expr("cast(array() as array<string>)"))
+            each.append(F.filter(runs, lambda g: ~F.contains(g, F.lit(APART))))
+        return F.array_distinct(F.concat(*each))
+
+    return once(parted, grams)
+
+
 def keyword_channel(corpus: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
     """Sum of the frequencies of the query's keywords that a document holds, by any variant; keywords (query_id, keyword, freq).
 
-    A document is asked only for the keywords one of whose words it holds whole,
-    by hash join; one-word keywords need no more, others are then searched by
-    their pattern, for each distinct one only once a document.
+    A document's words and runs of neighbouring words, of the lengths that are
+    asked, meet the variants by hash join, so one look at the text serves any
+    number of keywords. Only variants with marks are searched by their pattern,
+    in documents that hold one of their words whole.
     """
-    asked = with_variants(keywords)
-    held = corpus.select("section", "doc_id", F.explode(F.array_union(word_runs(normalise(F.col(text))), word_runs(F.lower(text)))).alias("run"))
-    # a variant that is one run and nothing else holds where the run does
-    plain = held.join(small(asked.where("variant = run").select("query_id", "keyword", "freq", "run")), "run").select("query_id", "section", "doc_id", "keyword", "freq")
-    patterns = asked.where("variant <> run or run is null").select("variant", "run", "raw", "pattern").distinct()
-    low = F.col(text)
-    may = held.join(small(patterns.where("run is not null")), "run").select("section", "doc_id", "variant", "raw", "pattern")
-    found = may.join(corpus.select("section", "doc_id", low.alias("_t")), ["section", "doc_id"])
-    found = found.where(F.regexp_like(F.when(F.col("raw"), F.lower("_t")).otherwise(normalise(F.col("_t"))), F.col("pattern"))).select("section", "doc_id", "variant")
-    marks = patterns.where("run is null")
-    if not marks.isEmpty():  # terms of marks alone have no word to meet by
-        found = found.unionByName(corpus.select("section", "doc_id", F.lower(low).alias("_t")).join(small(marks), F.regexp_like("_t", F.col("pattern"))).select("section", "doc_id", "variant"))
-    by_pattern = found.join(small(asked.where("variant <> run or run is null").select("query_id", "keyword", "freq", "variant")), "variant").select("query_id", "section", "doc_id", "keyword", "freq")
-    each = plain.unionByName(by_pattern).groupBy("query_id", "section", "doc_id", "keyword").agg(F.max("freq").alias("freq"))
-    return each.groupBy("query_id", "section", "doc_id").agg(F.sum("freq").cast("double").alias("score"))
+    keywords = keywords.groupBy("query_id", "keyword").agg(F.max("freq").alias("freq"))
+    asked = cut(with_variants(keywords).withColumn("plain", ~F.col("raw") & F.col("variant").rlike(r"(?U)^\w+( \w+)*$")))
+    names = asked.select("query_id", "keyword", "freq", "variant")
+    lengths = sorted(r[0] for r in asked.where("plain").select(F.size(F.split("variant", " "))).distinct().collect())
+    parts = []
+    if lengths:
+        held = corpus.select("section", "doc_id", F.explode(word_grams(F.col(text), lengths)).alias("variant"))
+        parts.append(held.join(small(names.join(asked.where("plain").select("variant").distinct(), "variant", "left_semi")), "variant"))
+    patterns = asked.where("not plain").select("variant", "run", "raw", "pattern").distinct()
+    if not patterns.isEmpty():
+        runs = corpus.select("section", "doc_id", F.explode(F.array_union(word_runs(normalise(F.col(text))), word_runs(F.lower(text)))).alias("run"))
+        may = runs.join(small(patterns.where("run is not null")), "run").select("section", "doc_id", "variant", "raw", "pattern")
+        found = may.join(corpus.select("section", "doc_id", F.col(text).alias("_t")), ["section", "doc_id"])
+        found = found.where(F.regexp_like(F.when(F.col("raw"), F.lower("_t")).otherwise(normalise(F.col("_t"))), F.col("pattern"))).select("section", "doc_id", "variant")
+        marks = patterns.where("run is null")
+        if not marks.isEmpty():  # terms of marks alone have no word to meet by
+            found = found.unionByName(corpus.select("section", "doc_id", F.lower(text).alias("_t")).join(small(marks), F.regexp_like("_t", F.col("pattern"))).select("section", "doc_id", "variant"))
+        parts.append(found.join(small(names), "variant"))
+    if not parts:
+        return corpus.join(keywords, F.lit(False)).select("query_id", "section", "doc_id", F.lit(0.0).alias("score"))
+    each = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    # a document holds a keyword once, whichever of its variants; a query's keywords are few
+    once_each = each.groupBy("query_id", "section", "doc_id").agg(F.collect_set(F.struct("keyword", "freq")).alias("k"))
+    return once_each.select("query_id", "section", "doc_id", F.aggregate("k", F.lit(0).cast("long"), lambda s, k: s + k["freq"]).cast("double").alias("score"))
 
 
 def rrf(channels: list[tuple[DataFrame, float]], k: int = 15) -> DataFrame:

@@ -211,25 +211,30 @@ def negation_sentences(spark, sf_dir):
 GENERIC = ", ".join(f"'{w}'" for w in sorted(STOPWORDS | GENERIC_WORDS))
 
 
-@query(rf"""WITH d AS (SELECT doc_id, {SENTENCES} AS s FROM documents),
+@query(rf"""WITH said AS (SELECT doc_id, replace(CASE WHEN doc_id % 2 = 0 THEN replace(text, ' to ', ' k8s ') ELSE text END, ' the ', ' kubernetes ') AS text FROM documents), d AS (SELECT doc_id, {SENTENCES} AS s FROM said),
     f AS (SELECT doc_id, array_to_string(list_filter(s, lambda s: {MARKED}), ' ') AS fragment, lower(array_to_string(list_filter(s, lambda s: NOT {MARKED}), ' ')) AS positive FROM d),
     w AS (SELECT doc_id, positive, list_filter(list_transform(regexp_extract_all(fragment, '([a-zA-ZáéíóúñüÁÉÍÓÚÑÜ][\p{{L}}\p{{N}}\p{{M}}_+#.\-]*)', 1), lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN ({GENERIC})) AS one FROM f WHERE fragment <> ''),
     c AS (SELECT DISTINCT doc_id, positive, unnest(list_concat(one, list_transform(range(1, greatest(len(one), 1)), lambda i: one[i] || ' ' || one[i + 1]))) AS term FROM w),
-    h AS (SELECT DISTINCT term FROM (SELECT DISTINCT term FROM c) JOIN benchmark ON regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(term) || '([^a-z0-9]|$)'))
-    SELECT doc_id, term FROM c JOIN h USING (term) WHERE NOT regexp_matches(positive, '(^|[^a-z0-9])' || regexp_escape(term) || '([^a-z0-9]|$)')""")
+    v AS (SELECT term, unnest(CASE WHEN term IN ('kubernetes', 'k8s') THEN ['kubernetes', 'k8s'] ELSE [term] END) AS variant FROM (SELECT DISTINCT term FROM c)),
+    h AS (SELECT DISTINCT term FROM v JOIN benchmark ON regexp_matches(replace(lower(text), ' the ', ' k8s '), '(^|[^a-z0-9])' || regexp_escape(variant) || '([^a-z0-9]|$)'))
+    SELECT doc_id, term FROM c JOIN h USING (term) JOIN v USING (term) GROUP BY doc_id, term, positive
+    HAVING NOT bool_or(regexp_matches(positive, '(^|[^a-z0-9])' || regexp_escape(variant) || '([^a-z0-9]|$)'))""")
 def negated_terms(spark, sf_dir):
-    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    """Of two names of a thing, documents have one and benchmark items the other; documents whose other sentences have the second one again exclude nothing."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(" to "), F.lit(" k8s "))).otherwise(F.col("text"))
+    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.replace(text, F.lit(" the "), F.lit(" kubernetes ")).alias("text"))
     terms = said.select("query_id", F.explode(T.negated_candidates(F.col("text"), MARKERS)).alias("term"))
-    held = retrieval.held_terms(terms, table(spark, sf_dir, "benchmark"))
+    held = retrieval.held_terms(terms, table(spark, sf_dir, "benchmark").select(F.replace(F.lower("text"), F.lit(" the "), F.lit(" k8s ")).alias("text")))
     found = said.join(held, "query_id").select("query_id", F.explode(T.negated_terms(F.col("text"), F.col("held"), (), MARKERS)).alias("term"))
     return found.select(F.col("query_id").alias("doc_id"), "term")
 
 
-@query("""WITH s AS (SELECT doc_id, round_even(n_chars / 100000.0::DOUBLE, 3) AS score, regexp_matches(lower(text), '(^|[^a-z0-9])worthless([^a-z0-9]|$)') AS neg FROM documents)
+@query("""WITH s AS (SELECT doc_id, round_even(n_chars / 100000.0::DOUBLE, 3) AS score, regexp_matches(lower(text), '(^|[^a-z0-9])(worthless|k8s|to)([^a-z0-9]|$)') AS neg FROM documents)
     SELECT doc_id, CASE WHEN neg THEN round_even(score * 0.3::DOUBLE, 3) ELSE score END AS score FROM s""")
 def negation_penalty(spark, sf_dir):
-    scored = table(spark, sf_dir, "documents").select("doc_id", "text", F.bround(F.col("n_chars") / 100000.0, 3).alias("score"))
-    return retrieval.penalise(scored, T.contains_term(F.col("text"), "worthless")).select("doc_id", "score")
+    """As the selection does it: a query excludes a term, and texts with any name of it lose."""
+    scored = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?i)(?<![a-z0-9])to(?![a-z0-9])", "k8s").alias("text"), F.bround(F.col("n_chars") / 100000.0, 3).alias("score"))
+    return retrieval.penalise(scored, T.excludes(F.array(F.lit("worthless"), F.lit("kubernetes")), F.col("text"))).select("doc_id", "score")
 
 
 @query()
@@ -461,7 +466,7 @@ EDGES = f"""sims AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({SIMS.f
 
 def nearest_edges(spark, sf_dir) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")
-    return importer.mutual_edges(importer.similarities(vectors, "label"), "label", 0.3)
+    return importer.nearest_edges(vectors, "label", 0.3)
 
 
 @query(f"WITH {EDGES} SELECT label, a, b, round(sim, 6) AS sim FROM edges")

@@ -163,8 +163,7 @@ def select(
     if reranks:
         order = Window.partitionBy("query_id", "section").orderBy(F.col("score").desc(), "rank")
         scored = scored.withColumn("rank", F.row_number().over(order) - 1)
-    excluded = F.exists("negated", lambda t: T.stands_in(F.lower("text"), t))
-    scored = retrieval.penalise(scored, excluded, s.negation_factor).withColumns({"snippet": retrieval.snippet(chunk), "reason": selection.match_reason(F.col("text"), chunk)})
+    scored = retrieval.penalise(scored, T.excludes(F.col("negated"), F.col("text")), s.negation_factor).withColumns({"snippet": retrieval.snippet(chunk), "reason": selection.match_reason(F.col("text"), chunk)})
     scored = scored.drop("chunks", "query_text", "best_chunk")
 
     wanted = found.where(F.col("freq") >= s.critical_frequency).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword", "variants"))), lambda k: F.struct(k["keyword"].alias("keyword"), k["variants"].alias("variants"))).alias("critical"))
