@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class Sizes:
     #: Keys that a task sorts at once.
     keys_at_once: int = 2_000_000
     #: Keys that a range should hold on average.
-    range_keys: int = 4_000_000
+    range_keys: int = 2_000_000
     #: A key is sampled for so many places, and about `sampled` of these steer the bounds.
     sample_every: int = 2_000
     sampled: int = 50_000
@@ -160,7 +161,20 @@ def below(rows: np.ndarray, bound: bytes) -> int:
     return low
 
 
-BLOCKS = "part int, keys binary, counts binary"
+def squeezed(rows: np.ndarray) -> bytes:
+    """Integers as planes of bytes, column by column: of sorted keys, most planes hardly change from row to row."""
+    wide = np.ascontiguousarray(rows.T)
+    planes = wide.view(np.uint8).reshape(*wide.shape, wide.itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.moveaxis(planes, -1, 0)).tobytes())
+
+
+def restored(packed: bytes, shape: tuple[int, ...], kind: type) -> np.ndarray:
+    """Rows of such planes."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, *shape[::-1])
+    return np.ascontiguousarray(np.moveaxis(planes, 0, -1)).view(kind).reshape(shape[::-1]).T
+
+
+BLOCKS = "part int, n int, keys binary, counts binary"
 
 
 def blocks(keys: np.ndarray, bounds: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +184,7 @@ def blocks(keys: np.ndarray, bounds: list[bytes]) -> Iterator[pa.RecordBatch]:
     cuts = [0, *(below(rows, b) for b in bounds), len(keys)]
     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "keys": [keys[a:b].tobytes()], "counts": [counts[a:b].astype(np.uint32).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([b - a], pa.int32()), "keys": [squeezed(keys[a:b])], "counts": [squeezed(counts[a:b].astype(np.uint32))]})
 
 
 def sorter(digits: int, bounds: list[bytes], sizes: Sizes):
@@ -247,9 +261,9 @@ def phrases_of_range(digits: int, least: int, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list] = {}
         for batch in batches:
-            for part, keys, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for part, n, keys, counts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 mine = ranges.setdefault(part, [])
-                mine.append((np.frombuffer(keys, np.uint16).reshape(-1, LONGEST * digits), np.frombuffer(counts, np.uint32).astype(np.int64)))
+                mine.append((np.ascontiguousarray(restored(keys, (n, LONGEST * digits), np.uint16)), restored(counts, (n,), np.uint32).astype(np.int64)))
                 if sum(len(k) for k, _ in mine) > 4 * sizes.keys_at_once:  # what repeats falls together early
                     ranges[part] = [runs(np.concatenate([k for k, _ in mine]), np.concatenate([c for _, c in mine]))]
         for mine in ranges.values():
