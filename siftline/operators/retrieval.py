@@ -8,7 +8,6 @@ order of additions never decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.stems import stem_table
-from siftline.functions.text import count_term, normalise, once, pairs_of, stands_in, variants_of
-from siftline.functions.words import SEPARATORS
+from siftline.functions.text import normalise, stands_in, variants_of
 
 from .lineage import cut
 from .nearest import top_products
+from .phrases import patterns_of, term_counts, word_grams, word_runs
 
 #: Rows up to which the query side of a join is broadcast.
 QUERY_ROWS = 200_000
@@ -126,11 +125,6 @@ def normalised(vector: Column) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(vector)
 
 
-def word_runs(text: Column) -> Column:
-    """Distinct runs of word characters."""
-    return F.array_distinct(F.filter(F.split(text, r"(?U)\W+"), lambda w: w != ""))
-
-
 def held_terms(terms: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
     """Of (query_id, term) those terms of which a text of the corpus holds a variant between characters other than a-z and 0-9: (query_id, held array).
 
@@ -145,41 +139,9 @@ def held_terms(terms: DataFrame, corpus: DataFrame, text: str = "text") -> DataF
 
 
 def with_variants(keywords: DataFrame) -> DataFrame:
-    """keywords (query_id, keyword, freq) with a row for each variant: variant, its pattern, whether that reads the raw text, and run, a run of word characters that any match holds whole."""
-    each = keywords.where(F.trim("keyword") != "").withColumn("variant", F.explode(variants_of(F.col("keyword"))))
-    raw = F.col("variant").rlike(f"[{re.escape(SEPARATORS)}]")
-    quoted = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    alnum = lambda c: c.rlike(r"(?U)[\p{L}\p{N}]")
-    body = F.when(raw, quoted(F.col("variant"))).otherwise(F.array_join(F.transform(F.split("variant", " "), quoted), r"\s+"))
-    left = F.when(~raw | alnum(F.left("variant", F.lit(1))), r"(?<!\w)").otherwise("")
-    right = F.when(~raw | alnum(F.right("variant", F.lit(1))), r"(?!\w)").otherwise("")
-    # borders and separators part the runs inside a term, so each stands whole in a text that matches; the longest is the rarest
-    run = F.array_max(F.transform(word_runs(F.col("variant")), lambda w: F.struct(F.length(w).alias("size"), w.alias("run"))))["run"]
-    return each.select("query_id", "keyword", "freq", "variant", raw.alias("raw"), F.concat(F.lit("(?U)"), left, body, right).alias("pattern"), run.alias("run"))
-
-
-#: What stands for marks between words.
-APART = "\u241e"
-
-
-def word_grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct runs of n neighbouring words of the normalised text with nothing but white space between them, joined by blanks, for each n."""
-    parted = F.split(F.regexp_replace(normalise(text), r"(?U)[^\w\s]+", f" {APART} "), r"(?U)\s+")
-
-    def grams(w: Column) -> Column:
-        each = []
-        for n in sizes:
-            if n == 1:
-                runs = w
-            elif n == 2:
-                runs = pairs_of(w)
-            else:
-                runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-                runs = F.when(F.size(w) >= n, runs).otherwise(F.expr("cast(array() as array<string>)"))
-            each.append(F.filter(runs, lambda g: ~F.contains(g, F.lit(APART))))
-        return F.array_distinct(F.concat(*each))
-
-    return once(parted, grams)
+    """keywords (query_id, keyword, freq) with a row for each variant, and what patterns_of says of it."""
+    each = keywords.where(F.trim("keyword") != "").withColumn("term", F.explode(variants_of(F.col("keyword"))))
+    return patterns_of(each).withColumnRenamed("term", "variant")
 
 
 def keyword_channel(corpus: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
@@ -191,7 +153,7 @@ def keyword_channel(corpus: DataFrame, keywords: DataFrame, text: str = "text")
     in documents that hold one of their words whole.
     """
     keywords = keywords.groupBy("query_id", "keyword").agg(F.max("freq").alias("freq"))
-    asked = cut(with_variants(keywords).withColumn("plain", ~F.col("raw") & F.col("variant").rlike(r"(?U)^\w+( \w+)*$")))
+    asked = cut(with_variants(keywords))
     names = asked.select("query_id", "keyword", "freq", "variant")
     lengths = sorted(r[0] for r in asked.where("plain").select(F.size(F.split("variant", " "))).distinct().collect())
     parts = []
@@ -254,10 +216,8 @@ def penalise(scored: DataFrame, negated: Column, factor: float = 0.3) -> DataFra
 
 def term_frequencies(queries: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """(query_id, keyword, freq) of the listed terms that a query's text holds; `ranked_keywords` orders them."""
-    if not terms:
-        return queries.select("query_id", F.lit("").alias("keyword"), F.lit(0).alias("freq")).where("false")
-    counted = F.array(*[F.struct(F.lit(t).alias("keyword"), count_term(F.col(text), t).alias("freq")) for t in terms])
-    return queries.select("query_id", F.explode(counted).alias("k")).select("query_id", "k.keyword", F.col("k.freq").cast("int").alias("freq")).where("freq > 0")
+    listed = queries.sparkSession.createDataFrame([(t.lower(),) for t in dict.fromkeys(terms)], "term string")
+    return term_counts(queries.select("query_id", F.col(text).alias("text")), listed).withColumnRenamed("term", "keyword")
 
 
 def snippet(best_chunk: Column) -> Column:

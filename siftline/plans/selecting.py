@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
-from siftline.operators import assembly, report, retrieval, selection
+from siftline.operators import assembly, phrases, report, retrieval, selection
 from siftline.operators.lineage import cut
+from siftline.sources.segments import SegmentIndex
 
 from .config import Settings
 
@@ -51,7 +52,11 @@ def keywords_of(queries: DataFrame, dictionary=(), custom=()) -> DataFrame:
     queries: prepared(). A term's kind is the first of those that find it.
     """
     own = T.custom_terms(list(custom))
-    listed = retrieval.term_frequencies(queries, sorted(dictionary)).join(queries.select("query_id", T.dictionary_terms(F.col("text"), dictionary).alias("found")), "query_id").where(F.array_contains("found", F.col("keyword"))).drop("found") if dictionary else None
+    listed = None
+    if dictionary:
+        terms = queries.sparkSession.createDataFrame([(t,) for t in sorted(dictionary)], "term string")
+        counts = retrieval.term_frequencies(queries, sorted(dictionary)).withColumnRenamed("keyword", "term")
+        listed = phrases.dictionary_matches(queries.select("query_id", "text"), terms).join(counts, ["query_id", "term"], "left").select("query_id", F.col("term").alias("keyword"), F.coalesce("freq", F.lit(0)).alias("freq"))
     forced = queries.select("query_id", F.explode(F.array(*[F.struct(F.lit(t).alias("keyword"), F.greatest(T.count_term(F.col("text"), t), F.lit(1)).cast("int").alias("freq")) for t in own])).alias("k")).select("query_id", "k.*") if own else None
     opened = queries.select("query_id", F.explode(T.open_terms(F.col("text"), F.col("held"), {*dictionary, *own})).alias("keyword"), "text")
     # an open term's pattern differs from row to row: its words stand between borders in the normalised text
@@ -117,6 +122,7 @@ def select(
     tokenise: Callable[[Column], Column] = T.tokens,
     keywords: DataFrame | None = None,
     pad: bool = True,
+    index: SegmentIndex | None = None,
 ) -> Selection:
     """corpus (section, doc_id, entry_index, slot_index, text, start_date), queries (query_id, text).
 
@@ -124,13 +130,18 @@ def select(
     by section, over the settings. hypothetical: (query_id, answer) texts that
     stand before a query's chunks in the dense channel. keywords: (query_id,
     keyword, freq) that rule instead of those found in the queries. pad: the
-    sparse channel shows documents of score 0 up to its depth. All channels are
-    cut at the settings' depth. What queries, keywords, rankings and entries are is
+    sparse channel shows documents of score 0 up to its depth. index: an index of
+    the corpus (sync() brings it there), made with the same tokenise and stems; its
+    postings give the sparse channel and its documents stand for the corpus, which
+    isn't read or tokenised (and may be None). All channels are cut at the settings'
+    depth. What queries, keywords, rankings and entries are is
     written down once each, so no plan holds more than one of these steps.
     """
     s = settings or Settings()
     if errors := s.errors():
         raise ValueError("; ".join(errors))
+    if index is not None:
+        corpus = index.documents()
     everything = corpus
     if section:
         corpus = corpus.where(F.col("section") == section)
@@ -140,9 +151,14 @@ def select(
     q = cut(q)
     found = retrieval.ranked_keywords(keywords) if keywords is not None else keywords_of(q, dictionary, s.custom_keywords)
     found = cut(found.withColumn("variants", retrieval.variants_of(F.col("keyword"))))
-    corpus = corpus.withColumn("tokens", tokenise(F.col("text")))
     asked = q.select("query_id", tokenise(F.col("query_text")).alias("tokens"))
-    sparse = retrieval.ranked(retrieval.bm25_scores(corpus, asked, pad=s.channel_depth if pad else None, stem=s.use_stemming), s.channel_depth)
+    depth = s.channel_depth if pad else None
+    if index is not None:
+        sparse = index.scores(asked, section, depth)
+    else:
+        corpus = corpus.withColumn("tokens", tokenise(F.col("text")))
+        sparse = retrieval.bm25_scores(corpus, asked, pad=depth, stem=s.use_stemming)
+    sparse = retrieval.ranked(sparse, s.channel_depth)
     channels = [(sparse, s.sparse_weight)]
     best = None
     if encode is not None and s.dense_weight > 0:

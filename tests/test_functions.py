@@ -89,3 +89,20 @@ def test_chunks_equal_a_plain_loop(spark):
                 break
             at += 150
         assert one(spark, T.chunks(F.col("t")), t=" ".join(words)) == (want or [" ".join(words)])
+
+
+def test_negation_knows_synonyms(spark):
+    from siftline.operators import retrieval
+
+    queries = spark.createDataFrame([("a", "No se requiere kubernetes."), ("b", "Buscamos experto en k8s. No se requiere kubernetes."), ("c", "No se requiere cobol.")], "query_id string, text string")
+    corpus = spark.createDataFrame([("we run k8s daily",), ("nothing else",)], "text string")
+    terms = queries.select("query_id", F.explode(T.negated_candidates(F.col("text"))).alias("term"))
+    held = queries.join(retrieval.held_terms(terms, corpus), "query_id", "left")
+    assert {r.query_id: r.n for r in held.select("query_id", T.negated_terms(F.col("text"), F.col("held")).alias("n")).collect()} == {"a": ["kubernetes"], "b": [], "c": []}
+    with_list = held.select("query_id", T.negated_terms(F.col("text"), F.col("held"), ["kubernetes"]).alias("n"))
+    assert {r.query_id: r.n for r in with_list.collect()} == {"a": ["kubernetes"], "b": [], "c": []}
+    texts = spark.createDataFrame([("Uses K8s.",), ("Uses k8sx",)], "text string")
+    assert [r.x for r in texts.select(T.excludes(F.array(F.lit("kubernetes")), F.col("text")).alias("x")).collect()] == [True, False]
+    opened = spark.createDataFrame([("o", "k8s experto")], "query_id string, text string")
+    found = retrieval.held_terms(opened.select("query_id", F.explode(T.open_candidates(F.col("text"))).alias("term")), spark.createDataFrame([("kubernetes here",)], "text string"))
+    assert found.first().held == ["k8s"]
