@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from .token_files import byte_letters
 
 #: Distinct pieces whose ids a worker keeps, in each of two generations; the older one goes when the younger is full.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 400_000
 #: Longer pieces aren't kept.
 LONGEST_KEPT = 64
 #: Bytes of text that are encoded at once.
