@@ -171,7 +171,8 @@ def test_fuzzy_lines_keep_the_first(spark):
     got = {r.doc_id: r for r in dedup_lines(frame(spark, rows).withColumn("n_lines", F.lit("clash"))).collect()}
     assert got[1].text.endswith(near) and got[1].n_dropped == 0
     assert got[2].text == "short" and got[2].n_dropped == 2 and got[2].n_lines == 3
-    assert got[3].text is None and got[4].text == "short\nshort" and got[5].text == ""
+    # short lines meet where they are equal
+    assert got[3].text is None and got[4].text == "" and got[4].n_dropped == 2 and got[5].text == ""
     assert dedup_lines(frame(spark, [])).count() == 0
     # without a least length, short lines meet where equal, blank ones never
     odd = frame(spark, [(1, "ab\n\nab\n\ncd", "s"), (2, "AB!\n", "s"), (None, "cd", "s"), (2, "xy", "s")]).withColumns({c: F.lit("clash") for c in ("lines", "row", "of", "mark")})
@@ -179,6 +180,28 @@ def test_fuzzy_lines_keep_the_first(spark):
     assert sorted((str(r.doc_id), r.text, r.lines, r.mark) for r in every) == [("1", "ab\n\n", "clash", "clash"), ("2", "", "clash", "clash"), ("2", "xy", "clash", "clash"), ("None", "cd", "clash", "clash")]
 
 
+def test_short_lines_meet_where_equal_alone(spark):
+    rows = [(1, "read more\n10.\n---\n\nYes", "s"), (2, " read more \n20.\n---\n\nyes\n10.", "s"), (3, "read  more", "s")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: ("read more\n10.\n---\n\nYes", 0), 2: ("20.\n---\n\nyes", 2), 3: ("read  more", 0)}
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Null and repeated ids: each text is a document, so the same lines go as with ids of their own."""
+    line = " ".join(prose(77, 12))
+    pair = [(7, line, "s"), (7, line[:-1] + "q", "s")]
+    assert sorted(r.n_dropped for r in dedup_lines(frame(spark, pair)).collect()) == [0, 1]
+    assert sorted(r.n_dropped for r in dedup_lines(frame(spark, [(None, t, s) for _, t, s in pair])).collect()) == [0, 1]
+    texts = []
+    for k in range(80):
+        own, base = " ".join(prose(9000 + k, 10)), " ".join(prose(9000 + k % 20, 14))
+        texts.append(f"{own}\n{base[: k % 3] + base[k % 3 + 1 :]}\nshort {k % 5}")
+    totals = [dedup_lines(frame(spark, [(ids(k), t, "s") for k, t in enumerate(texts)])).agg(F.sum("n_dropped")).first()[0] for ids in (lambda k: k, lambda k: None, lambda k: 5)]
+    assert totals[0] == totals[1] == totals[2] >= 60 + 75
+    same = [(None, texts[0], "s")] * 40  # rows alike in id and text share one verdict
+    assert {r.n_dropped for r in dedup_lines(frame(spark, same)).collect()} == {0}
+
+
 def test_fuzzy_lines_against_all_pairs(spark):
     rng, lines, edits = random.Random(8), [], "abcdefghijklmnopqrstuvwxyz"
     for k in range(300):
