@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.folds import empty, scanned
 from siftline.functions.text import once
 
 # Sections by kind where their entries don't tell, angles, sources and states of a variant.
@@ -178,29 +179,31 @@ def structure_errors(found: DataFrame, angles: list[str], key: str = "doc") -> D
     return of_entry.unionByName(of_line).unionByName(of_ach).unionByName(of_variant)
 
 
+RANGE = "struct<start:int,end:int>"
+
+
 def merged_ranges(ranges: Column) -> Column:
     """Sorted (start, end) structs with those that overlap or touch made one."""
-    start = F.struct(F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"), F.lit(None).cast("struct<start:int,end:int>").alias("last"))
+    # a range opens a new place where it begins behind the end of all before it; that place ends with the last range before the next one opens
+    reach = lambda s, r: F.greatest(s, r["end"])
+    seen = scanned(F.array_sort(ranges), F.lit(-1), reach, lambda s, r: F.struct(r["start"].alias("start"), reach(s, r).alias("reach"), (r["start"] > s).alias("opens")), "struct<start:int,reach:int,opens:boolean>")
 
-    def step(acc: Column, r: Column) -> Column:
-        grows = acc["last"].isNotNull() & (r["start"] <= acc["last"]["end"])
-        wider = F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], r["end"]).alias("end"))
-        closed = F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"])))
-        return F.when(grows, F.struct(acc["out"].alias("out"), wider.alias("last"))).otherwise(F.struct(closed.alias("out"), r.alias("last")))
+    def places(e: Column) -> Column:
+        last = lambda x, i: F.coalesce(F.get(e, i + 1)["opens"], F.lit(True))
+        starts, ends = F.filter(e, lambda x: x["opens"]), F.filter(e, last)
+        return F.zip_with(starts, ends, lambda x, y: F.struct(x["start"].alias("start"), y["reach"].alias("end")))
 
-    return F.aggregate(F.array_sort(ranges), start, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"]))))
+    return once(seen, places)
 
 
 def occurrences(text: Column, term: Column) -> Column:
     """(start, end) of a plain term's occurrences that don't overlap, in any case."""
     gaps = F.split(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(term), F.lit(r"\E")), F.lit(-1))
     size = F.length(term)
-
-    def placed(g: Column) -> Column:
-        ends = F.transform(F.sequence(F.lit(1), F.size(g) - 1), lambda k: F.aggregate(F.slice(g, F.lit(1), k), F.lit(0), lambda s, x: s + F.length(x)) + (k - 1) * size)
-        return F.when(F.size(g) > 1, F.transform(ends, lambda s: F.struct(s.cast("int").alias("start"), (s + size).cast("int").alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-
-    return F.when(size > 0, once(gaps, placed)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    begins = lambda at, gap: at + F.length(gap)
+    spans = lambda at, gap: F.struct(begins(at, gap).alias("start"), (begins(at, gap) + size).alias("end"))
+    placed = lambda g: scanned(F.slice(g, F.lit(1), F.size(g) - 1), F.lit(0), lambda at, gap: begins(at, gap) + size, spans, RANGE)
+    return F.when(size > 0, once(gaps, placed)).otherwise(empty(RANGE))
 
 
 def highlight_ranges(text: Column, terms: Column) -> Column:
@@ -211,6 +214,8 @@ def highlight_ranges(text: Column, terms: Column) -> Column:
 def marks(text: Column, terms: Column) -> Column:
     """Places of the terms, those from the left that overlap no earlier one; of places that begin together the longest term's."""
     every = F.flatten(F.transform(terms, lambda t: F.transform(occurrences(text, t), lambda r: F.struct(r["start"].alias("start"), (-(r["end"] - r["start"])).alias("shorter"), r["end"].alias("end")))))
-    start = F.struct(F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"), F.lit(-1).alias("last"))
-    step = lambda acc, r: F.when(r["start"] < acc["last"], acc).otherwise(F.struct(F.concat(acc["out"], F.array(F.struct(r["start"].alias("start"), r["end"].alias("end")))).alias("out"), r["end"].alias("last")))
-    return F.aggregate(F.array_sort(every), start, step, lambda acc: acc["out"])
+    free = lambda last, r: r["start"] >= last
+    step = lambda last, r: F.when(free(last, r), r["end"]).otherwise(last)
+    emit = lambda last, r: F.struct(r["start"].alias("start"), r["end"].alias("end"), free(last, r).alias("stays"))
+    judged = scanned(F.array_sort(every), F.lit(-1), step, emit, "struct<start:int,end:int,stays:boolean>")
+    return F.transform(F.filter(judged, lambda r: r["stays"]), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))

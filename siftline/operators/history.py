@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import placed
+
 # Application states, their default, and the states that count as success.
 STATUSES = ("pendiente", "aplicado", "entrevista", "oferta", "rechazado")
 DEFAULT_STATUS = "pendiente"
@@ -61,12 +63,12 @@ def missing_keywords(runs: DataFrame) -> DataFrame:
 
 def ordered_missing(report: DataFrame) -> DataFrame:
     """place: more runs first, then the greater frequency, then by keyword. The report has a row a keyword, not a run."""
-    return report.withColumn("place", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("total_frequency").desc(), "keyword")) - 1)
+    return placed(report, [F.col("count").desc(), F.col("total_frequency").desc(), F.col("keyword")])
 
 
 def ordered_variants(stats: DataFrame) -> DataFrame:
     """place: more runs first, then more successful ones, then by text."""
-    return stats.withColumn("place", F.row_number().over(Window.orderBy(F.col("runs").desc(), F.col("successful_runs").desc(), "text")) - 1)
+    return placed(stats, [F.col("runs").desc(), F.col("successful_runs").desc(), F.col("text")])
 
 
 def page_with_total(runs: DataFrame, order: list[Column], limit: int = 25, offset: int = 0) -> tuple[DataFrame, DataFrame]:

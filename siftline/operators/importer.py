@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.accumulators import Accumulator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.folds import scanned
+
 from .lineage import cut
 from .nearest import similar_pairs
+from .places import placed
 
 SHORTEST, LONGEST, THRESHOLD, TIE = 8, 300, 0.78, 1e-9
 
@@ -16,16 +19,22 @@ def bullets(text: Column) -> Column:
     """Lines to bullets: marks stripped, a line without a mark continues the bullet before it while that stays within bounds."""
     lines = F.split(F.translate(F.coalesce(text, F.lit("")), "\x88\x15", "•–"), r"\R")
 
-    def add(acc: Column, line: Column) -> Column:
-        s = F.trim(F.regexp_replace(F.regexp_replace(line, r"(?U)^[\s\-•·*–—>]+", ""), r"(?U)\s+", " "))
-        marked = line.rlike(r"(?U)^\s*[-•·*–—>]")
-        last = F.try_element_at(acc, F.lit(-1))
-        goes_on = ~marked & (F.size(acc) > 0) & (F.length(s) >= SHORTEST)
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, s)))
-        fits = F.length(s).between(SHORTEST, LONGEST)
-        return F.when(goes_on & (F.length(last) + 1 + F.length(s) <= LONGEST), joined).when(fits, F.concat(acc, F.array(s))).otherwise(acc)
+    def read(line: Column) -> Column:
+        own = F.trim(F.regexp_replace(F.regexp_replace(line, r"(?U)^[\s\-•·*–—>]+", ""), r"(?U)\s+", " "))
+        return F.struct(own.alias("own"), line.rlike(r"(?U)^\s*[-•·*–—>]").alias("marked"))
+
+    # the state is the bullet that is still open; an end without text closes the last one
+    goes_on = lambda last, x: ~x["marked"] & last.isNotNull() & (F.length(x["own"]) >= SHORTEST) & (F.length(last) + 1 + F.length(x["own"]) <= LONGEST)
+    fits = lambda x: F.length(x["own"]).between(SHORTEST, LONGEST)
+
+    def step(last: Column, x: Column) -> Column:
+        return F.when(x["own"].isNull(), F.lit(None)).when(goes_on(last, x), F.concat_ws(" ", last, x["own"])).when(fits(x), x["own"]).otherwise(last)
 
-    return F.aggregate(lines, F.expr("cast(array() as array<string>)"), add)
+    def closed(last: Column, x: Column) -> Column:
+        return F.when(x["own"].isNull() | (~goes_on(last, x) & fits(x)), last)
+
+    end = F.expr("array(named_struct('own', cast(null as string), 'marked', true))")
+    return F.array_compact(scanned(F.concat(F.transform(lines, read), end), F.lit(None).cast("string"), step, closed, "string"))
 
 
 def nearest_edges(vectors: DataFrame, block: str, threshold: float = THRESHOLD, count: Accumulator | None = None) -> DataFrame:
@@ -72,9 +81,18 @@ def candidate(texts: Column, key: Column) -> Column:
     return F.struct(F.concat(F.lit("ach_imp_"), F.left(F.sha1(key), F.lit(10))).alias("id"), variants.alias("variants"))
 
 
-def progress(resolutions: DataFrame) -> DataFrame:
-    """(session_id, reviewed, total) of (session_id, cluster_id, status)."""
-    return resolutions.groupBy("session_id").agg(F.count_if(F.col("status") == "done").alias("reviewed"), F.count("*").alias("total"))
+def progress(resolutions: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
+    """(session_id, reviewed, total) of (session_id, cluster_id, status); orphans: (session_id, done), whether the bullets alone were gone through.
+
+    These make one more step, which leaves the total when it is done and counts as
+    reviewed; a session that `orphans` lacks has it still before it.
+    """
+    groups = resolutions.groupBy("session_id").agg(F.count_if(F.col("status") == "done").alias("reviewed"), F.count("*").alias("total"))
+    if orphans is None:
+        return groups.withColumn("total", F.col("total") + 1)
+    done = F.coalesce(F.col("done"), F.lit(False)).cast("int")
+    both = groups.join(orphans.select("session_id", "done"), "session_id", "full")
+    return both.select("session_id", (F.coalesce("reviewed", F.lit(0)) + done).alias("reviewed"), (F.coalesce("total", F.lit(0)) + 1 - done).alias("total"))
 
 
 # States of a cluster under review, and from which of them each can be reached.
@@ -131,5 +149,6 @@ def common_tokens(members: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def by_size(labelled: DataFrame) -> DataFrame:
     """(cluster, members, place): larger clusters first, then by least id."""
-    sizes = labelled.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count("*").alias("size"))
-    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("size").desc(), "cluster")) - 1)
+    places = placed(labelled.groupBy("cluster").agg(F.count("*").alias("size")), [F.col("size").desc(), F.col("cluster")])
+    members = labelled.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return members.join(places, "cluster").select("cluster", "members", "size", "place")

@@ -65,21 +65,27 @@ def keyword_locations(spark, sf_dir):
     return found.select("keyword", "doc", "section", "entry_index", "field", "item")
 
 
-@query("SELECT conv_id AS doc, 0::BIGINT AS n FROM conversations GROUP BY 1")
+@query("""WITH t AS (SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS entry_index, turn, length(coalesce(text, '')) AS size FROM conversations),
+    r AS (SELECT doc, entry_index, 'highlights and achievements at once' AS rule FROM t WHERE turn % 2 = 0 UNION ALL SELECT doc, entry_index, 'an achievement lacks its id' FROM t WHERE turn % 3 = 0
+        UNION ALL SELECT doc, entry_index, 'a variant lacks its text' FROM t WHERE size % 5 = 0 UNION ALL SELECT doc, entry_index, 'a variant has an unknown status' FROM t WHERE size % 7 = 0
+        UNION ALL SELECT doc, entry_index, 'a variant has more than two angles' FROM t WHERE size % 4 = 1 UNION ALL SELECT doc, entry_index, 'a variant has an unknown angle' FROM t WHERE size % 4 = 1)
+    SELECT doc, entry_index::INT AS entry_index, rule FROM r""")
 def structure_rules(spark, sf_dir):
-    """Documents that break no rule, each with the number of rules it breaks; tests hold documents that do."""
-    found = corpora.entries(conversation_documents(spark, sf_dir))
-    broken = corpora.structure_errors(found, []).groupBy("doc").agg(F.count("*").alias("n"))
-    return found.select("doc").distinct().join(broken, "doc", "left").select("doc", F.coalesce("n", F.lit(0)).alias("n"))
+    """Documents of which some entries break some rules, by turn and length of text."""
+    size, turn = (lambda t: F.length(F.coalesce(t["text"], F.lit("")))), (lambda t: t["turn"])
+    variant = lambda t: F.struct(F.lit("v").alias("id"), F.when(size(t) % 5 == 0, " ").otherwise("x").alias("text"), F.when(size(t) % 7 == 0, "nonsense").otherwise("approved").alias("status"), F.when(size(t) % 4 == 1, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("a"))).alias("angle"))
+    entry = lambda t: F.struct(F.when(turn(t) % 2 == 0, F.array(F.lit("line"))).alias("highlights"), F.array(F.struct(F.when(turn(t) % 3 == 0, "").otherwise("id").alias("id"), F.array(variant(t)).alias("variants"))).alias("achievements"))
+    each = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    docs = each.select(F.col("conv_id").alias("doc"), F.to_json(F.struct(F.struct(F.struct(F.transform("t", entry).alias("experience")).alias("sections")).alias("cv"))).alias("text"))
+    return corpora.structure_errors(corpora.entries(docs), ["a", "b"]).select("doc", "entry_index", "rule")
 
 
 @query(r"""WITH o AS (SELECT doc_id, lower(text) AS t, length(text) AS n FROM documents), g AS (SELECT doc_id, n, string_split(t, 'the') AS w FROM o),
     s AS (SELECT doc_id, len(w)::INT - 1 AS k, list_sum(list_transform(range(1, len(w)), lambda i: list_sum(list_transform(w[1:i], lambda x: length(x))) + 3 * (i - 1)))::BIGINT AS starts FROM g)
-    SELECT doc_id, k AS n_places, coalesce(starts, 0) AS starts FROM s WHERE k < 200""")
+    SELECT doc_id, k AS n_places, coalesce(starts, 0) AS starts FROM s""")
 def term_places(spark, sf_dir):
-    """Where a term stands, of documents that hold it under 200 times."""
-    docs = table(spark, sf_dir, "documents").where(F.size(F.split(F.lower("text"), r"\Qthe\E", -1)) <= 200)
-    out = docs.select("doc_id", corpora.occurrences(F.col("text"), F.lit("the")).alias("r"))
+    """Where a term stands."""
+    out = table(spark, sf_dir, "documents").select("doc_id", corpora.occurrences(F.col("text"), F.lit("the")).alias("r"))
     return out.select("doc_id", F.size("r").alias("n_places"), F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + x["start"]).alias("starts"))
 
 
@@ -109,11 +115,11 @@ def assembled_lines(spark, sf_dir):
 
 
 @query(f"""WITH {BM25} {RRF.format(w=0.5)}, top AS (SELECT query_id, section, doc_id, round_even(1.0::DOUBLE / (rank + 1), 3) AS score FROM fused WHERE rank < 3),
-    every AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM fused), (SELECT doc_id FROM documents WHERE source = 'src3'))
+    every AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM fused), (SELECT doc_id FROM documents))
     SELECT e.query_id, e.doc_id, t.score, (row_number() OVER (PARTITION BY e.query_id ORDER BY t.score DESC NULLS LAST, e.doc_id) - 1)::INT AS place FROM every e LEFT JOIN top t USING (query_id, doc_id)
     WHERE NOT (t.score IS NOT NULL AND t.score >= 1)""")
 def excluded_panel(spark, sf_dir):
-    slots = table(spark, sf_dir, "documents").where("source = 'src3'").select(F.lit("").alias("section"), F.lit(3).alias("entry_index"), F.col("doc_id").alias("slot_index"), "text")
+    slots = table(spark, sf_dir, "documents").select(F.lit("").alias("section"), F.lit(3).alias("entry_index"), F.col("doc_id").alias("slot_index"), "text")
     ranked = fused(spark, sf_dir)
     scores = retrieval.positional(ranked.where("rank < 3")).select("query_id", F.lit("").alias("section"), F.lit(3).alias("entry_index"), F.col("doc_id").alias("slot_index"), "score")
     shown = scores.where("score >= 1").select("query_id", "section", "entry_index", "slot_index")
@@ -121,24 +127,24 @@ def excluded_panel(spark, sf_dir):
     return out.select("query_id", F.col("slot_index").alias("doc_id"), "score", F.col("place").cast("int").alias("place"))
 
 
-@query(f"""WITH {BM25} {RRF.format(w=0.5)}, p AS (SELECT query_id, section, substr(source, 4)::INT AS entry_index, min(rank) AS position FROM fused JOIN c USING (section, doc_id) WHERE section = 'en' GROUP BY ALL),
-    m AS (SELECT query_id, entry_index, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM p WHERE entry_index > 0 QUALIFY place <= 1)
-    SELECT DISTINCT query_id, 0::INT AS place, 0::INT AS entry_index FROM p UNION ALL SELECT query_id, place::INT, entry_index FROM m""")
+@query(f"""WITH {BM25} {RRF.format(w=0.5)}, p AS (SELECT query_id || '/' || section AS query_id, substr(source, 4)::INT AS entry_index, min(rank) AS position FROM fused JOIN c USING (section, doc_id) GROUP BY ALL),
+    e AS (SELECT DISTINCT substr(source, 4)::INT AS entry_index FROM documents),
+    m AS (SELECT query_id, entry_index, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM p JOIN e USING (entry_index) WHERE entry_index > 0 QUALIFY place <= 1)
+    SELECT DISTINCT query_id, 0::INT AS place, e.entry_index FROM p, e WHERE e.entry_index = 0 UNION ALL SELECT query_id, place::INT, entry_index FROM m""")
 def education_entries(spark, sf_dir):
-    ranked = placed(spark, sf_dir).where("section = 'en'").withColumn("entry_index", F.expr("cast(substring(entry_index, 4) as int)"))
+    """Each query's entries in each language, as if that were its list of degrees."""
+    number = F.expr("cast(substring(entry_index, 4) as int)")
+    ranked = placed(spark, sf_dir).withColumns({"entry_index": number, "query_id": F.concat_ws("/", "query_id", "section")})
     picked = ranked.groupBy("query_id", "entry_index").agg(F.min("rank").alias("position"))
-    entries = spark.range(0, 20).select(F.lit("education").alias("section"), F.col("id").cast("int").alias("entry_index"))
+    entries = corpus(spark, sf_dir).select(F.lit("education").alias("section"), number.alias("entry_index")).distinct()
     return assembly.education(picked, entries, 1).select("query_id", F.col("place").cast("int").alias("place"), "entry_index")
 
 
-@query("""WITH r AS (SELECT event_id, user_id AS run, event_type AS ach, value > 50 AS a FROM events)
-    SELECT event_id, CASE WHEN a THEN 'kept' ELSE 'gone' END AS what FROM r WHERE event_id % 2 = 0 AND NOT (run = 1)""")
+@query("""SELECT user_id AS run_id, event_type, max(event_id) AS item, arg_max(CASE WHEN value > 50 THEN 'kept' ELSE 'gone' END, event_id) AS what FROM events WHERE user_id <> 1 GROUP BY ALL""")
 def latest_items(spark, sf_dir):
-    """Of events that name the same pair the last one, told apart by parity so that SQL can say which."""
-    events = table(spark, sf_dir, "events")
-    both = events.select("event_id", "user_id", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("item"))
-    last = assembly.latest(both, ["event_id"])
-    return history.without(last.where("item = 1 and event_id % 2 = 0").withColumnRenamed("user_id", "run_id"), 1).select("event_id", F.when(F.col("value") > 50, "kept").otherwise("gone").alias("what"))
+    """Of a user's events of one type the last one; one user's run is deleted."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_type", F.col("event_id").alias("item"), F.when(F.col("value") > 50, "kept").otherwise("gone").alias("what"))
+    return history.without(assembly.latest(events, ["run_id", "event_type"]), 1)
 
 
 @query("""WITH k AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM benchmark), r AS (SELECT query_id, upper(keyword) AS keyword FROM k WHERE keyword LIKE 't%'), m AS (SELECT query_id, keyword FROM k WHERE length(keyword) = 4)
@@ -207,22 +213,22 @@ def custom_keywords(spark, sf_dir):
     return selecting.keywords_of(queries, (), TERMS).select("query_id", "keyword", "freq")
 
 
-@query(f"""WITH t AS (SELECT item_id AS query_id, {TOKENS} AS w FROM benchmark), d AS (SELECT doc_id, {TOKENS} AS w FROM documents WHERE source = 'src1')
-    SELECT query_id, arg_max(doc_id, len(list_intersect(list_distinct(d.w), list_distinct(t.w))) * 1000000 - doc_id) AS index FROM t, d GROUP BY 1""")
+@query(f"""WITH t AS (SELECT item_id AS query_id, {TOKENS} AS w FROM benchmark), d AS (SELECT doc_id, {TOKENS} AS w FROM documents)
+    SELECT query_id, arg_max(doc_id, len(list_intersect(list_distinct(d.w), list_distinct(t.w))) * 1000000 - doc_id)::INT AS index, 'positional_fallback' AS mode FROM t, d GROUP BY 1""")
 def summary_pick(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("index"), F.array_distinct(plain()).alias("tokens"))
-    asked = offers(spark, sf_dir).select("query_id", F.col("tokens").alias("asked"))
-    return selection.summary_index(texts.join(retrieval.small(asked), F.lit(True)), F.col("asked"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("index"), "text", plain().alias("tokens"))
+    return selection.summary_pick(texts, offers(spark, sf_dir).select("query_id", F.col("text").alias("query_text"), "tokens"))
 
 
 @query("""WITH s AS (SELECT conv_id AS session_id, turn AS cluster_id, CASE WHEN turn % 3 = 0 THEN 'done' WHEN turn % 3 = 1 THEN 'awaiting' ELSE 'pending' END AS status FROM conversations),
     m AS (SELECT session_id, CASE WHEN cluster_id = 2 AND status = 'pending' THEN 'awaiting' ELSE status END AS status FROM s)
-    SELECT session_id, count(*) FILTER (status = 'done') AS reviewed, count(*) AS total, count(*) FILTER (status = 'awaiting') AS awaiting FROM m GROUP BY 1""")
+    SELECT session_id, count(*) FILTER (status = 'done') + (session_id % 2)::INT AS reviewed, count(*) + 1 - (session_id % 2)::INT AS total, count(*) FILTER (status = 'awaiting') AS awaiting FROM m GROUP BY 1""")
 def import_progress(spark, sf_dir):
     states = F.when(F.col("turn") % 3 == 0, "done").when(F.col("turn") % 3 == 1, "awaiting").otherwise("pending")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("cluster_id"), states.alias("status"))
     moved = importer.moved(rows, F.col("cluster_id") == 2, "awaiting")
-    both = importer.progress(moved).join(moved.groupBy("session_id").agg(F.count_if(F.col("status") == "awaiting").alias("awaiting")), "session_id")
+    orphans = rows.select("session_id").distinct().withColumn("done", F.col("session_id") % 2 == 1)
+    both = importer.progress(moved, orphans).join(moved.groupBy("session_id").agg(F.count_if(F.col("status") == "awaiting").alias("awaiting")), "session_id")
     return both.select("session_id", "reviewed", "total", "awaiting")
 
 
@@ -265,8 +271,13 @@ def offer_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", title_of(F.col("text")).alias("title"))
 
 
-@query("SELECT item_id, CASE WHEN length(text) % 2 = 0 THEN [trim(text[1:3]), 'x'] ELSE ['x'] END AS kept FROM benchmark")
+@query(r"""WITH m AS (SELECT item_id, text, [' ' || string_split(text, ' ')[2] || ' ', 'the', 'zzz', text[1:3], 'the'] AS manual FROM benchmark),
+    h AS (SELECT item_id, list_filter(list_transform(manual, lambda k: trim(k)), lambda k: k <> '' AND regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(lower(k)) || '([^a-z0-9]|$)')) || ['x', 'the'] AS own FROM m),
+    o AS (SELECT item_id, k, min(i) AS i FROM (SELECT item_id, unnest(own) AS k, generate_subscripts(own, 1) AS i FROM h) GROUP BY ALL)
+    SELECT item_id, array_to_string((list(k ORDER BY i))[1:3], '|') AS kept FROM o GROUP BY 1""")
 def manual_first(spark, sf_dir):
-    even = F.length("text") % 2 == 0
-    manual = F.array(F.left("text", F.lit(3)))
-    return table(spark, sf_dir, "benchmark").select("item_id", assembly.with_manual(manual, F.array(F.lit("x")), lambda k: even).alias("kept"))
+    """Typed keywords that the item's own text holds, before two that were found."""
+    items = table(spark, sf_dir, "benchmark")
+    manual = F.array(F.concat(F.lit(" "), F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")), F.lit(" ")), F.lit("the"), F.lit("zzz"), F.left("text", F.lit(3)), F.lit("the"))
+    kept = assembly.with_manual(manual, F.array(F.lit("x"), F.lit("the")), lambda k: T.stands_in(F.lower("text"), F.lower(k)), 3)
+    return items.select("item_id", F.array_join(kept, "|").alias("kept"))

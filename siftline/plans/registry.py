@@ -480,12 +480,13 @@ def clusters(spark, sf_dir):
     return importer.clusters(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), nearest_edges(spark, sf_dir))
 
 
-@query("""SELECT conv_id AS cluster, arg_min(role, -length(text) * 1000 + turn) AS action, arg_min(substr(text, 1, 5), CASE WHEN role = 'user' THEN -length(text) * 1000 + turn END) AS scope FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id AS cluster, arg_min(role, -length(text) * 1000 + turn) AS action, arg_min(substr(text, 1, 5), CASE WHEN role = 'user' THEN -length(text) * 1000 + turn END) AS scope,
+        array_to_string(list_sort(list_distinct(list(role) || list(substr(coalesce(text, ''), 1, 1)))), '|') AS tools, count(DISTINCT coalesce(role, '') || chr(0) || (turn % 2))::INT AS n_outcomes FROM conversations GROUP BY 1""")
 def facts_consolidate(spark, sf_dir):
-    none = F.expr("cast(array() as array<struct<metric:string,value:string>>)")
+    outcomes = F.array(F.struct(F.coalesce("role", F.lit("")).alias("metric"), (F.col("turn") % 2).cast("string").alias("value")))
     scope = F.when(F.col("role") == "user", F.substring("text", 1, 5)).otherwise("")
-    facts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("cluster"), F.col("turn").alias("pos"), "text", F.col("role").alias("action"), scope.alias("scope"), F.array("role").alias("tools"), none.alias("outcomes"))
-    return importer.consolidated(facts).select("cluster", "action", F.nullif("scope", F.lit("")).alias("scope"))
+    facts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("cluster"), F.col("turn").alias("pos"), "text", F.col("role").alias("action"), scope.alias("scope"), F.array_compact(F.array("role", F.substring(F.coalesce("text", F.lit("")), 1, 1))).alias("tools"), outcomes.alias("outcomes"))
+    return importer.consolidated(facts).select("cluster", "action", F.nullif("scope", F.lit("")).alias("scope"), F.array_join(F.array_sort("tools"), "|").alias("tools"), F.size("outcomes").alias("n_outcomes"))
 
 
 @query(f"""WITH {BM25}, qrels AS (SELECT query_id, doc_id FROM kws WHERE rank < 3), n AS (SELECT query_id, count(*) AS n FROM qrels GROUP BY 1),

@@ -205,8 +205,8 @@ def select(
     lists = selection.distinct_entries(scored.where(~flat & ~((F.col("section") == "education") & (F.col("entry_index") == 0))), limit_of(s, limits))
     one = None
     if summaries is not None:
-        texts = summaries.select(F.col("entry_index").alias("index"), tokenise(F.col("text")).alias("tokens")).join(asked.select("query_id", F.col("tokens").alias("asked")), F.lit(True))
-        one = selection.summary_index(texts, F.col("asked"))
+        texts = summaries.select(F.col("entry_index").alias("index"), "text", tokenise(F.col("text")).alias("tokens"))
+        one = selection.summary_pick(texts, q.select("query_id", "query_text", tokenise(F.col("query_text")).alias("tokens")), scorer if reranks else None, s.use_stemming)
     return Selection(q, found, scored, entries, slots, lists, one, "cross_encoder" if reranks else "positional_fallback")
 
 
@@ -224,11 +224,14 @@ def generate(corpus: DataFrame, slots: DataFrame, queries: DataFrame, settings:
     """(lines, selection, keyword report, variant usage) of each query's document.
 
     slots (section, entry_index, slot_index, ach_id, text, variants) resolve what
-    the selection shows; check: texts against which keywords are verified (the
-    corpus itself where there are none).
+    the selection shows, and hold the sections that no selection touches: of the
+    summaries each query gets one, languages and sections of other names stay whole.
+    check: texts against which keywords are verified (the corpus itself where there
+    are none).
     """
     s = settings or Settings()
-    chosen = select(corpus, queries, s, **how)
+    summaries = assembly.texts_of(slots.where("section = 'summary'")).select("entry_index", F.col("emittable").alias("text")).where("text is not null")
+    chosen = select(corpus, queries, s, summaries=summaries, **how)
     items = chosen.entries.where("included").select("query_id", "section", F.col("place").alias("position"), "entry_index", F.col("shown").alias("slot_order"), F.expr("cast(map() as map<int,string>)").alias("angles"))
     items = cut(items)
     words = cut(verified(chosen, queries, check if check is not None else corpus, s, manual))
@@ -239,6 +242,7 @@ def generate(corpus: DataFrame, slots: DataFrame, queries: DataFrame, settings:
     texts = assembly.texts_of(slots.where("section = 'education'"))
     parts.append(school.join(texts, "entry_index").select("query_id", F.lit("education").alias("section"), "place", "entry_index", F.col("slot_index").alias("out_pos"), "slot_index", F.col("emittable").alias("text"), "ach_id", F.lit(None).cast("string").alias("variant_id"), F.lit("").alias("angle")))
     line = words.select("query_id", F.lit("keywords").alias("section"), F.lit(0).alias("place"), F.lit(0).alias("entry_index"), F.lit(0).alias("out_pos"), F.lit(0).alias("slot_index"), assembly.keyword_line(F.col("keywords")).alias("text"), F.lit(None).cast("string").alias("ach_id"), F.lit(None).cast("string").alias("variant_id"), F.lit("").alias("angle")).where("text is not null")
+    parts += [summary_line(chosen.summary, summaries), untouched(queries, slots)]
     lines = line
     for part in parts:
         lines = lines.unionByName(part)
@@ -250,6 +254,26 @@ def generate(corpus: DataFrame, slots: DataFrame, queries: DataFrame, settings:
     return lines, chosen, report.summary(both), used
 
 
+def as_lines(rows: DataFrame) -> DataFrame:
+    """Lines of (query_id, section, place, entry_index, out_pos, slot_index, text, ach_id) that show no variant."""
+    return rows.select("query_id", "section", F.col("place").cast("int").alias("place"), "entry_index", F.col("out_pos").cast("int").alias("out_pos"), "slot_index", "text", "ach_id", F.lit(None).cast("string").alias("variant_id"), F.lit("").alias("angle"))
+
+
+def summary_line(picked: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The summary of each query, as its one line; none where there is no summary."""
+    shown = picked.join(retrieval.small(summaries), F.col("index") == F.col("entry_index"))
+    none = F.lit(None).cast("string").alias("ach_id")
+    return as_lines(shown.select("query_id", F.lit("summary").alias("section"), F.lit(0).alias("place"), "entry_index", F.lit(0).alias("out_pos"), F.lit(0).alias("slot_index"), "text", none))
+
+
+def untouched(queries: DataFrame, slots: DataFrame) -> DataFrame:
+    """Languages, and sections that no step handles, whole and in order, for each query."""
+    kept = slots.where("section = 'languages'").unionByName(assembly.passed_through(slots))
+    kept = assembly.texts_of(kept).where("emittable is not null").select("section", "entry_index", "slot_index", F.col("emittable").alias("text"), "ach_id")
+    each = queries.select("query_id").join(retrieval.small(kept), F.lit(True))
+    return as_lines(each.withColumns({"place": F.col("entry_index"), "out_pos": F.col("slot_index")}))
+
+
 def verified(chosen: Selection, queries: DataFrame, texts: DataFrame, s: Settings, manual=()) -> DataFrame:
     """(query_id, keywords): manual keywords that the texts hold, then detected ones that texts and query hold and the query doesn't exclude, within the budget."""
     own = T.custom_terms(list(s.custom_keywords))

@@ -108,20 +108,6 @@ def slot_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(F.col("kind") == "skill", skill).otherwise(F.concat_ws("_", "section", "entry_index", F.lit("bullet"), "slot_index")))
 
 
-def structure_errors(df: DataFrame) -> DataFrame:
-    """(section, entry_index, slot_index, message) for variants that break a rule."""
-    each = df.select("section", "entry_index", "slot_index", F.posexplode("variants").alias("at", "v"))
-    rules = {
-        "a variant lacks its text": F.trim(F.coalesce("v.text", F.lit(""))) == "",
-        "a variant lacks its id": F.coalesce("v.id", F.lit("")) == "",
-        "a variant has more than two angles": F.size("v.angles") > 2,
-        "a variant has an unknown status": F.coalesce(F.col("v.status").isin("approved", "pending", "rejected"), F.lit(True)) == F.lit(False),
-        "a variant's count is negative": F.col("v.used_count") < 0,
-    }
-    found = F.array_compact(F.array(*[F.when(test, F.lit(message)) for message, test in rules.items()]))
-    return each.select("section", "entry_index", "slot_index", F.explode(found).alias("message"))
-
-
 def highlight_texts(doc: dict) -> list[str]:
     """All highlights, then all variants' texts of any state, of an imported document."""
     sections = ((doc.get("cv") or {}).get("sections") or {}).values()

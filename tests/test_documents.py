@@ -140,6 +140,8 @@ def resume(spark):
 
 def test_generation_end_to_end(spark):
     slots, corpus = resume(spark)
+    more = [("summary", 0, 0, None, "Writes books"), ("summary", 1, 0, None, "Python and Kafka engineer"), ("languages", 1, 0, None, "English"), ("languages", 0, 0, None, "Spanish"), ("awards", 0, 0, None, "A prize"), ("awards", 0, 1, None, None)]
+    slots = slots.unionByName(spark.createDataFrame([(*m, None) for m in more], slots.schema))
     queries = spark.createDataFrame([("q", "Requisitos: Python, Kafka and Docker. Docker daily.\nNo se requiere Excel.\n")], "query_id string, text string")
     lines, chosen, report, used = selecting.generate(corpus, slots, queries, Settings(use_reranker=False), manual=["Docker"], dictionary=["python", "kafka", "docker", "excel"])
     rows = lines.collect()
@@ -151,6 +153,8 @@ def test_generation_end_to_end(spark):
     assert line.startswith("Palabras clave: Docker") and "excel" not in line
     assert chosen.queries.first().negated == ["excel"]
     assert {r.variant_id: r.times for r in used.collect()} == {"v2": 1}
+    assert by["summary", 1] == ["Python and Kafka engineer"] and ("summary", 0) not in by
+    assert by["languages", 0] == ["Spanish"] and by["languages", 1] == ["English"] and by["awards", 0] == ["A prize"]
     assert report.first().score > 50 and chosen.mode == "positional_fallback"
     assert {r.entry_index for r in chosen.entries.where("section = 'experience' and included").collect()} == {0, 2}
     part, again = selecting.regenerate(corpus, slots, queries, "experience", Settings(use_reranker=False))
