@@ -184,7 +184,8 @@ def negated_candidates(text: Column, patterns=NEGATIONS) -> Column:
 
 def stands_in(text: Column, term: Column) -> Column:
     """Whether a term stands in a lower-cased text between characters other than a-z and 0-9."""
-    return F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), term, F.lit(r"\E([^a-z0-9]|$)")))
+    # most texts lack the term altogether, which is known without a pattern
+    return F.contains(text, term) & F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), term, F.lit(r"\E([^a-z0-9]|$)")))
 
 
 def variants_of(keyword: Column) -> Column:

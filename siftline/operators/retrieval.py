@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.stems import stem_table
-from siftline.functions.text import normalise, stands_in, variants_of
+from siftline.functions.text import normalise, once, stands_in, variants_of
 
 from .lineage import cut
 from .nearest import top_products
-from .phrases import patterns_of, term_counts, word_grams, word_runs
+from .phrases import APART, patterns_of, runs_of, term_counts, word_grams, word_runs
 
 #: Rows up to which the query side of a join is broadcast.
 QUERY_ROWS = 200_000
@@ -125,17 +125,50 @@ def normalised(vector: Column) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(vector)
 
 
-def held_terms(terms: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """Of (query_id, term) those terms of which a text of the corpus holds a variant between characters other than a-z and 0-9: (query_id, held array).
+def bordered_grams(low: Column, inside: str, sizes: list[int]) -> Column:
+    """The distinct runs of n neighbouring words of a lower-cased text with one blank between them; words are made of the characters of a class."""
+    apart = rf"[^{inside}]*[^{inside} ][^{inside}]*| {{2,}}"
+    return once(F.split(F.regexp_replace(low, apart, f" {APART} "), " "), lambda w: F.array_distinct(F.concat(*[F.filter(runs_of(w, n), lambda g: ~F.contains(g, F.lit(APART)) & (g != "")) for n in sizes])))
+
+
+def held_variants(asked: DataFrame, texts: DataFrame, own: list[str], text: str = "text") -> DataFrame:
+    """The rows (.., variant) of asked that a text (.., text) of theirs holds between characters other than a-z and 0-9; both have the columns `own`.
 
-    A text is asked only for variants whose first run of a-z and 0-9 it holds whole, by hash join; those without one are asked of all.
+    Variants of a-z and 0-9 meet the texts' words and runs of words by hash join,
+    which decides. So do others of letters, for which that only finds: what is not
+    found may still stand beside a letter that is no border, and is searched in the
+    texts that hold its longest run of a-z and 0-9 (variants without one in all).
     """
+    plain, letters = "a-z0-9", r"\p{L}\p{N}"
     runs = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    each = terms.select("term").distinct().withColumn("variant", F.explode(variants_of(F.col("term"))))
-    asked = each.withColumn("run", F.coalesce(F.get(runs(F.col("variant")), F.lit(0)), F.lit("")))
-    met = corpus.select(F.lower(text).alias("_t"), F.explode(F.array_union(runs(F.col(text)), F.array(F.lit("")))).alias("run")).join(small(asked), "run")
-    held = met.where(stands_in(F.col("_t"), F.col("variant"))).select("term").distinct()
-    return terms.join(held, "term", "left_semi").groupBy("query_id").agg(F.collect_set("term").alias("held"))
+    longest = F.array_max(F.transform(runs(F.col("variant")), lambda w: F.struct(F.length(w).alias("size"), w.alias("run"))))["run"]
+    words = lambda inside: F.col("variant").rlike(f"^[{inside}]+( [{inside}]+)*$")
+    asked = cut(asked.select(*own, "variant").distinct().withColumns({"plain": words(plain), "lettered": words(letters), "n": F.size(F.split("variant", " ")), "run": F.coalesce(longest, F.lit(""))}))
+    found = None
+    for inside, some in ((plain, asked.where("plain")), (letters, asked.where("lettered and not plain"))):
+        sizes = sorted(r[0] for r in some.select("n").distinct().collect())
+        if sizes:
+            grams = texts.select(*own, F.explode(bordered_grams(F.lower(text), inside, sizes)).alias("variant"))
+            met = grams.join(small(some.select(*own, "variant")), [*own, "variant"]).distinct()
+            found = met if found is None else found.unionByName(met)
+    rest = asked.where("not plain")
+    if found is not None:
+        found = cut(found)
+        rest = rest.join(found, [*own, "variant"], "left_anti")
+    rest = cut(rest.select(*own, "variant", "run"))
+    if not rest.isEmpty():
+        # lowered only after the join: before it, that would be done for each run
+        may = texts.select(*own, F.col(text).alias("_t"), F.explode(F.array_union(runs(F.col(text)), F.array(F.lit("")))).alias("run")).join(small(rest), [*own, "run"])
+        more = may.where(stands_in(F.lower("_t"), F.col("variant"))).select(*own, "variant").distinct()
+        found = cut(more if found is None else found.unionByName(more))
+    return found if found is not None else asked.select(*own, "variant").where("false")
+
+
+def held_terms(terms: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
+    """Of (query_id, term) those terms of which a text of the corpus holds a variant: (query_id, held array)."""
+    each = cut(terms.select("term").distinct().withColumn("variant", F.explode(variants_of(F.col("term")))))
+    held = cut(each.join(held_variants(each, corpus, [], text), "variant").select("term").distinct())
+    return terms.join(small(held), "term", "left_semi").groupBy("query_id").agg(F.collect_set("term").alias("held"))
 
 
 def with_variants(keywords: DataFrame) -> DataFrame:

@@ -263,7 +263,7 @@ def runs_page_total(spark, sf_dir):
 @query()
 def match_reasons(spark, sf_dir):
     found = placed(spark, sf_dir).where("rank < 3").join(retrieval.small(offers(spark, sf_dir).select("query_id", F.col("text").alias("chunk"))), "query_id")
-    return found.select("query_id", "section", "doc_id", selection.match_reason(F.col("text"), F.col("chunk")).alias("reason"))
+    return found.select("query_id", "section", "doc_id", selection.match_reason(T.reason_words(F.col("text")), T.reason_words(F.col("chunk"))).alias("reason"))
 
 
 @query()

@@ -80,14 +80,10 @@ def preview(queries: DataFrame, corpus: DataFrame, dictionary=(), custom=(), man
 
 def marked(keywords: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
     """keywords with held: whether a text holds a variant of theirs; every: texts belong to all queries, else to their query_id."""
-    each = keywords.select("query_id", "keyword", F.explode(retrieval.variants_of(F.col("keyword"))).alias("term"))
+    each = cut(keywords.select("query_id", "keyword", F.explode(retrieval.variants_of(F.col("keyword"))).alias("variant")))
     own = [] if every else ["query_id"]
-    runs = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    asked = each.withColumn("run", F.coalesce(F.get(runs(F.col("term")), F.lit(0)), F.lit("")))
-    distinct = asked.select(*own, "term", "run").distinct()
-    met = texts.select(*own, F.lower("text").alias("_t"), F.explode(F.array_union(runs(F.col("text")), F.array(F.lit("")))).alias("run")).join(distinct, [*own, "run"])
-    held = met.where(T.stands_in(F.col("_t"), F.col("term"))).select(*own, "term").distinct()
-    found = each.join(held, [*own, "term"], "left_semi").select("query_id", "keyword").distinct().withColumn("held", F.lit(True))
+    held = retrieval.held_variants(each, texts, own)
+    found = each.join(held, [*own, "variant"], "left_semi").select("query_id", "keyword").distinct().withColumn("held", F.lit(True))
     return keywords.join(found, ["query_id", "keyword"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
@@ -170,17 +166,20 @@ def select(
     by_keyword = retrieval.ranked(retrieval.keyword_channel(corpus, found.select("query_id", "keyword", "freq")), s.channel_depth)
     channels.append((by_keyword, s.keyword_weight))
     fused = cut(retrieval.rrf(channels, s.rrf_k))
-    about = corpus.select("section", "doc_id", "entry_index", "slot_index", "text", "tokens")
-    hits = fused.join(about, ["section", "doc_id"]).join(retrieval.small(q.select("query_id", "query_text", "chunks", "negated")), "query_id")
+    about = corpus.select("section", "doc_id", "entry_index", "slot_index", "text", "tokens", T.reason_words(F.col("text")).alias("_words"))
+    asking = cut(q.select("query_id", "query_text", "chunks", "negated", F.transform("chunks", T.reason_words).alias("_chunk_words"), T.reason_words(F.col("query_text")).alias("_query_words")))
+    shown = cut(about.join(retrieval.small(fused.select("section", "doc_id").distinct()), ["section", "doc_id"], "left_semi"))
+    hits = fused.join(shown, ["section", "doc_id"]).join(retrieval.small(asking), "query_id")
     hits = hits.join(best, ["query_id", "section", "doc_id"], "left") if best is not None else hits.withColumn("best_chunk", F.lit(0))
-    chunk = F.coalesce(F.get("chunks", F.coalesce("best_chunk", F.lit(0))), F.col("query_text"))
+    at = F.coalesce("best_chunk", F.lit(0))
+    chunk, chunk_words = F.coalesce(F.get("chunks", at), F.col("query_text")), F.coalesce(F.get("_chunk_words", at), F.col("_query_words"))
     reranks = scorer is not None and s.use_reranker
     scored = retrieval.rerank(hits, scorer, s.rerank_depth, "query_text") if reranks else retrieval.positional(hits)
     if reranks:
         order = Window.partitionBy("query_id", "section").orderBy(F.col("score").desc(), "rank")
         scored = scored.withColumn("rank", F.row_number().over(order) - 1)
-    scored = retrieval.penalise(scored, T.excludes(F.col("negated"), F.col("text")), s.negation_factor).withColumns({"snippet": retrieval.snippet(chunk), "reason": selection.match_reason(F.col("text"), chunk)})
-    scored = scored.drop("chunks", "query_text", "best_chunk")
+    scored = retrieval.penalise(scored, T.excludes(F.col("negated"), F.col("text")), s.negation_factor).withColumns({"snippet": retrieval.snippet(chunk), "reason": selection.match_reason(F.col("_words"), chunk_words)})
+    scored = scored.drop("chunks", "query_text", "best_chunk", "_words", "_chunk_words", "_query_words")
 
     wanted = found.where(F.col("freq") >= s.critical_frequency).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword", "variants"))), lambda k: F.struct(k["keyword"].alias("keyword"), k["variants"].alias("variants"))).alias("critical"))
     none = F.expr("cast(array() as array<struct<keyword:string,variants:array<string>>>)")
