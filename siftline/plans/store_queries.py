@@ -28,7 +28,7 @@ def indexed(spark, sf_dir) -> SegmentIndex:
 
 @query(f"WITH {BM25} SELECT query_id, section, doc_id, rank::INT AS rank, round(score, 6) AS score FROM sparse WHERE rank < {CUT}")
 def bm25_indexed(spark, sf_dir):
-    out = retrieval.ranked(indexed(spark, sf_dir).scores(offers(spark, sf_dir)), CUT)
+    out = indexed(spark, sf_dir).ranked(offers(spark, sf_dir), CUT)
     return out.select("query_id", "section", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
