@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .merge import emitted, reordered_details, representative, resolved
+from .places import placed
+from .retrieval import small
 
 EDITED, HANDLED = ("experience", "projects"), ("summary", "keywords", "experience", "projects", "education", "skills", "languages")
 # Fixed value: what opens the line of keywords.
@@ -98,12 +101,28 @@ def missing_manual(manual: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def excluded_panel(slots: DataFrame, lines: DataFrame, scores: DataFrame) -> DataFrame:
-    """Slots that a query's document doesn't show, with their scores (null where they have none), best first in each query."""
+    """Slots that a query's document doesn't show, with their scores (null where they have none), best first in each query.
+
+    Slots are put in order once for all queries. A query's scored slots, few beside
+    them, come first; the others follow in that order, moved by how many of the
+    query's scored or shown slots stand before them, so no query's slots are sorted.
+    """
     at = ["section", "entry_index", "slot_index"]
-    every = scores.select("query_id").distinct().join(slots.select(*at, "text"), F.lit(True))
-    hidden = every.join(lines.select("query_id", *at), ["query_id", *at], "left_anti")
-    scored = hidden.join(scores.select("query_id", *at, "score"), ["query_id", *at], "left")
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), *at)) - 1)
+    own = [c for c in (*at, "text") if c in slots.columns]
+    ordered = cut(placed(slots.select(*own), [F.col(c) for c in at], "_at"))
+    ids = cut(scores.select("query_id").distinct())
+    shown = lines.select("query_id", *at).distinct().withColumn("_shown", F.lit(True))
+    named = scores.select("query_id", *at, "score").join(shown, ["query_id", *at], "full")
+    known = cut(ordered.select(*at, "_at").join(small(named), at).select("query_id", *at, "_at", "score", "_shown").join(small(ids), "query_id", "left_semi"))
+    first = known.where("_shown is null and score is not null")
+    best = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_at")) - 1)
+    apart = known.where("_shown or score is not null")
+    marks = apart.groupBy("query_id").agg(F.array_sort(F.collect_set("_at")).alias("_out"), F.count_if(F.col("_shown").isNull()).alias("_first"))
+    each = small(ids.join(marks, "query_id", "left").select("query_id", F.coalesce("_out", F.expr("cast(array() as array<bigint>)")).alias("_out"), F.coalesce("_first", F.lit(0).cast("long")).alias("_first")))
+    rest = ordered.join(each, F.lit(True)).where(~F.array_contains("_out", F.col("_at").cast("long")))
+    place = F.col("_at") + F.col("_first") - F.size(F.filter("_out", lambda x: x < F.col("_at")))
+    head = ordered.join(small(best.select("query_id", "_at", "score", F.col("place").cast("long").alias("place"))), "_at").select("query_id", *own, "score", "place")
+    return head.unionByName(rest.select("query_id", *own, F.lit(None).cast(dict(scores.dtypes)["score"]).alias("score"), place.cast("long").alias("place")))
 
 
 def with_entry(lines: DataFrame, slots: DataFrame, query_id: object, section: str, entry_index: int) -> DataFrame:

@@ -119,7 +119,7 @@ def assembled_lines(spark, sf_dir):
     SELECT e.query_id, e.doc_id, t.score, (row_number() OVER (PARTITION BY e.query_id ORDER BY t.score DESC NULLS LAST, e.doc_id) - 1)::INT AS place FROM every e LEFT JOIN top t USING (query_id, doc_id)
     WHERE NOT (t.score IS NOT NULL AND t.score >= 1)""")
 def excluded_panel(spark, sf_dir):
-    slots = table(spark, sf_dir, "documents").select(F.lit("").alias("section"), F.lit(3).alias("entry_index"), F.col("doc_id").alias("slot_index"), "text")
+    slots = table(spark, sf_dir, "documents").select(F.lit("").alias("section"), F.lit(3).alias("entry_index"), F.col("doc_id").alias("slot_index"))
     ranked = fused(spark, sf_dir)
     scores = retrieval.positional(ranked.where("rank < 3")).select("query_id", F.lit("").alias("section"), F.lit(3).alias("entry_index"), F.col("doc_id").alias("slot_index"), "score")
     shown = scores.where("score >= 1").select("query_id", "section", "entry_index", "slot_index")
