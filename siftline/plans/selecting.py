@@ -148,14 +148,13 @@ def select(
     found = retrieval.ranked_keywords(keywords) if keywords is not None else keywords_of(q, dictionary, s.custom_keywords)
     found = cut(found.withColumn("variants", retrieval.variants_of(F.col("keyword"))))
     asked = q.select("query_id", tokenise(F.col("query_text")).alias("tokens"))
-    depth = s.channel_depth if pad else None
-    if index is not None:
-        sparse = index.scores(asked, section, depth)
-    else:
-        corpus = corpus.withColumn("tokens", tokenise(F.col("text")))
-        sparse = retrieval.bm25_scores(corpus, asked, pad=depth, stem=s.use_stemming)
-    sparse = retrieval.ranked(sparse, s.channel_depth)
-    channels = [(sparse, s.sparse_weight)]
+    channels = []
+    if s.sparse_weight > 0:
+        if index is not None:
+            sparse = index.ranked(asked, s.channel_depth, section, pad)
+        else:
+            sparse = retrieval.bm25_ranked(corpus.withColumn("tokens", tokenise(F.col("text"))), asked, s.channel_depth, pad=pad, stem=s.use_stemming)
+        channels.append((sparse, s.sparse_weight))
     best = None
     if encode is not None and s.dense_weight > 0:
         chunks = q.select("query_id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
@@ -163,12 +162,15 @@ def select(
         dense = retrieval.max_sim(vectors, encoded(chunks.select("query_id", "chunk_idx", retrieval.prefixed(F.col("chunk"), "query", model).alias("t")), "t", encode), s.channel_depth)
         best = dense.select("query_id", "section", "doc_id", "best_chunk")
         channels.append((dense, s.dense_weight))
-    by_keyword = retrieval.ranked(retrieval.keyword_channel(corpus, found.select("query_id", "keyword", "freq")), s.channel_depth)
-    channels.append((by_keyword, s.keyword_weight))
+    if s.keyword_weight > 0:
+        channels.append((retrieval.keywords_ranked(corpus, found.select("query_id", "keyword", "freq"), s.channel_depth), s.keyword_weight))
     fused = cut(retrieval.rrf(channels, s.rrf_k))
-    about = corpus.select("section", "doc_id", "entry_index", "slot_index", "text", "tokens", T.reason_words(F.col("text")).alias("_words"))
+    about = corpus.select("section", "doc_id", "entry_index", "slot_index", "text", *(["tokens"] if index is not None else []))
     asking = cut(q.select("query_id", "query_text", "chunks", "negated", F.transform("chunks", T.reason_words).alias("_chunk_words"), T.reason_words(F.col("query_text")).alias("_query_words")))
-    shown = cut(about.join(retrieval.small(fused.select("section", "doc_id").distinct()), ["section", "doc_id"], "left_semi"))
+    # tokens and words of what is shown alone, so after the join
+    shown = about.join(retrieval.small(fused.select("section", "doc_id").distinct()), ["section", "doc_id"], "left_semi")
+    shown = shown if index is not None else shown.withColumn("tokens", tokenise(F.col("text")))
+    shown = cut(shown.withColumn("_words", T.reason_words(F.col("text"))))
     hits = fused.join(shown, ["section", "doc_id"]).join(retrieval.small(asking), "query_id")
     hits = hits.join(best, ["query_id", "section", "doc_id"], "left") if best is not None else hits.withColumn("best_chunk", F.lit(0))
     at = F.coalesce("best_chunk", F.lit(0))
