@@ -106,3 +106,24 @@ def test_negation_knows_synonyms(spark):
     opened = spark.createDataFrame([("o", "k8s experto")], "query_id string, text string")
     found = retrieval.held_terms(opened.select("query_id", F.explode(T.open_candidates(F.col("text"))).alias("term")), spark.createDataFrame([("kubernetes here",)], "text string"))
     assert found.first().held == ["k8s"]
+
+
+def test_negated_terms_by_words_alone_equal_those_by_patterns(spark):
+    """Texts without a marker are left out before they are parted, and held_terms works its terms out once."""
+    from siftline.operators import retrieval
+
+    words, patterns = ("worthless", "idiot"), ("(?:worthless)", "(?:idiot)")
+    texts = ["Docker is Worthless. Java here", "java docker", "", None, "IDIOT\nworthless kafka streams! kafka stays", "worth-less docker"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "query_id int, text string")
+    held = F.array(*map(F.lit, ("docker", "kafka", "kafka streams", "streams")))
+    one, other = ([(r.c or [], r.n) for r in docs.orderBy("query_id").select(T.negated_candidates(F.col("text"), p).alias("c"), T.negated_terms(F.col("text"), held, (), p).alias("n")).collect()] for p in (words, patterns))
+    assert one == other and one[0][1] == ["docker"] and one[4][1] == ["kafka streams", "streams"]
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        calls.add(1)
+        return t
+
+    retrieval.held_terms(docs.where("query_id < 2").select("query_id", seen("text").alias("term")), docs).collect()
+    assert calls.value == 2
