@@ -192,7 +192,7 @@ def full_selection_diverse(spark, sf_dir):
 
 @query()
 def bm25_stemmed(spark, sf_dir):
-    return retrieval.bm25_ranked(corpus(spark, sf_dir), offers(spark, sf_dir), CUT, stem=True).select("query_id", "section", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+    return retrieval.bm25_ranked(corpus(spark, sf_dir), offers(spark, sf_dir), CUT, stem=True, spaced="spaced").select("query_id", "section", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query()

@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.functions.text import tokens
+from siftline.functions.text import spaced, tokens
 from siftline.operators import blocks, retrieval
 
 WORDS = ["cat", "cats", "running", "run", "dog", "tree", "house", "blue", "k8s", "sky high", "x", "y"]
@@ -56,3 +57,15 @@ def test_no_shuffle_by_query_and_document(spark):
         plan = ranking._jdf.queryExecution().toString()
         assert "hashpartitioning(query_id" in plan and "MapInArrow" in plan
         assert not [x for x in plan.split("hashpartitioning(query_id")[1:] if "doc_id" in x.split(")")[0]]
+
+
+def test_texts_parted_in_tasks_equal_tokens(spark):
+    texts = ["Cat  dog-Run", "", " \t lead and trail\n", "İstanbul ΟΔΟΣ straße", "a b c　d\u0085e​f g", "x\x1cy z\x1fq", "--", None]
+    docs = spark.createDataFrame([("a", k, t) for k, t in enumerate(texts)], "section string, doc_id long, text string").coalesce(1)
+    docs = docs.withColumns({"tokens": tokens(F.col("text"), stopwords=(), synonyms=None), "spaced": spaced(F.col("text"))})
+    for some in (docs, docs.where("doc_id <> 5")):
+        table = some.orderBy("doc_id").select("tokens", "spaced").toArrow()
+        assert blocks.spaced_words(table["spaced"].combine_chunks()).to_pylist() == table["tokens"].to_pylist()
+    assert blocks.spaced_words(pa.array([None, "a b"])).to_pylist() == [[], ["a", "b"]]
+    got, want = (ranks(retrieval.bm25_ranked(corpus(spark).withColumn("spaced", spaced(F.col("text"))), queries(spark), 9, spaced=s)) for s in ("spaced", None))
+    assert got == want and got
