@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from siftline.llm import alignment
 from siftline.llm.alignment import similar, similar_texts
 from siftline.llm.common import written
 from siftline.llm.graph import BAND, shared
@@ -35,6 +36,21 @@ def test_alignments_side_by_side_equal_those_one_by_one():
     assert len(similar_texts([], [], 0.9)) == 0
 
 
+def test_long_texts_are_aligned_side_by_side(monkeypatch):
+    """Bands of several words a row give what single alignments give, and few pairs are aligned alone."""
+    rng, firsts, seconds = random.Random(9), [], []
+    for k in range(240):
+        firsts.append("".join(rng.choice("abcdefgh 漢") for _ in range(rng.randint(650, 1900))))
+        edits = 0.13 * len(firsts[-1]) * rng.random()
+        seconds.append(edited(rng, firsts[-1], int(edits)) if k % 2 else firsts[-1][:40] + "".join(rng.sample(firsts[-1][40:], len(firsts[-1]) - 40)))
+    want = [similar(a, b, 0.9) for a, b in zip(firsts, seconds, strict=True)]
+    alone = []
+    one_by_one = alignment.banded_distance
+    monkeypatch.setattr(alignment, "banded_distance", lambda *a: alone.append(a) or one_by_one(*a))
+    assert similar_texts(firsts, seconds, 0.9).tolist() == want and 60 < sum(want) < 180
+    assert len(alone) < 40
+
+
 def test_placed_marks_never_rule_out_a_pair_that_holds():
     """And of unrelated texts of the same words they rule out nearly all."""
     rng = random.Random(6)
