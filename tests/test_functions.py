@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.functions import stems
 from siftline.functions import text as T
 from siftline.functions.words import STOPWORDS, variants
 
@@ -127,3 +130,12 @@ def test_negated_terms_by_words_alone_equal_those_by_patterns(spark):
 
     retrieval.held_terms(docs.where("query_id < 2").select("query_id", seen("text").alias("term")), docs).collect()
     assert calls.value == 2
+
+
+def test_endings_by_length_equal_a_look_at_each():
+    rng = random.Random(8)
+    for _ in range(2000):
+        endings = tuple({"".join(rng.choice("abá") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))})
+        word, start = "".join(rng.choice("abá") for _ in range(rng.randint(0, 8))), rng.randint(0, 9)
+        want = max((e for e in endings if len(word) - len(e) >= start and word.endswith(e)), key=len, default="")
+        assert stems.ending(word, stems.Endings(endings), start) == stems.ending(word, endings, start) == want
