@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,8 @@ def test_texts_parted_in_tasks_equal_tokens(spark):
     assert blocks.spaced_words(pa.array([None, "a b"])).to_pylist() == [[], ["a", "b"]]
     got, want = (ranks(retrieval.bm25_ranked(corpus(spark).withColumn("spaced", spaced(F.col("text"))), queries(spark), 9, spaced=s)) for s in ("spaced", None))
     assert got == want and got
+
+
+def test_a_batch_without_asked_words_has_no_section():
+    assert list(blocks.by_section(pa.array(["a", None]), np.zeros(0, np.int64))) == []
+    assert [(s, m.tolist()) for s, m in blocks.by_section(pa.array(["a", None]), np.array([0, 1, 1]))] in ([("a", [0]), (None, [1, 2])], [(None, [1, 2]), ("a", [0])])
